@@ -1,0 +1,146 @@
+"""Frequency of every distinct value or term over a whole collection.
+
+The operator works in five steps, none of which brings terms to the driver:
+
+1. pairs: (field, unit, term, record) with the number of occurrences, by one map-side combined
+   aggregation whose key holds the record and is therefore never hot;
+2. dictionary: the distinct terms, dealt out by range and numbered without gaps in term order;
+3. encoding: the pairs get the integer of their term. A dictionary of a checked size is broadcast, a
+   larger one is joined on term and salt so that a term of very many records is spread;
+4. blocks: every task adds its pairs into count arrays of `BLOCK` identifiers, one array for
+   occurrences and one for records;
+5. sum: the arrays of a block are summed, block by block, and lined up with the dictionary.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from pharos.runtime import BROADCAST_ROWS, cut
+
+#: Identifiers a count array covers.
+BLOCK = 1024
+#: Parts a term is split into where the dictionary is too large to broadcast.
+SALTS = 16
+
+#: White space of any kind: the Unicode property and the four information separators.
+BLANK = r"[\p{IsWhite_Space}\x1c-\x1f]"
+#: Read as a hyphen inside a value: white space, underscores, dashes of any kind, minus, soft hyphen, hyphen bullet.
+JOINT = r"[\p{IsWhite_Space}\x1c-\x1f_\p{Pd}−­⁃]"
+
+
+def normal_value(c: Column) -> Column:
+    """A value without white space around it, in lower case, with `-` for each blank, underscore or dash; empty is NULL."""
+    trimmed = F.regexp_replace(c.cast("string"), f"^{BLANK}+|{BLANK}+$", "")
+    return F.nullif(F.regexp_replace(F.lower(trimmed), JOINT, "-"), F.lit(""))
+
+
+def one_delivery(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """`columns` of each row of `df` once per `key`. Rows without a key can't be told apart and all stay."""
+    kept = [c for c in columns if c != key]
+    first = F.min(F.struct(*kept)).alias("row")
+    keyed = df.where(F.col(key).isNotNull()).groupBy(key).agg(first).select(key, "row.*")
+    return keyed.unionByName(df.where(F.col(key).isNull()).select(key, *kept))
+
+
+def _named(field: str):
+    return lambda t: F.struct(F.lit(field).alias("field_name"), t.unit.alias("unit"), t.term.alias("term"))
+
+
+def term_pairs(df: DataFrame, record: str, values: list[str], words: list[str]) -> DataFrame:
+    """(field_name, unit, term, record, occurrences) of all values, and of the words of the fields in `words`."""
+    parts = []
+    for c in values:
+        v = normal_value(F.col(c))
+        made = F.array(F.struct(F.lit("value").alias("unit"), v.alias("term")))
+        if c in words:
+            own = F.filter(F.split(v, "-"), lambda x: x != "")
+            made = F.concat(made, F.coalesce(F.transform(own, lambda x: F.struct(F.lit("word").alias("unit"), x.alias("term"))), F.array().cast("array<struct<unit:string,term:string>>")))
+        parts.append(F.transform(made, _named(c)))
+    flat = df.select(F.col(record).alias("record"), F.explode(F.concat(*parts)).alias("t")).select("record", "t.*")
+    return flat.where(F.col("term").isNotNull()).groupBy("field_name", "unit", "term", "record").agg(F.count("*").alias("occurrences"))
+
+
+def global_dictionary(pairs: DataFrame) -> DataFrame:
+    """(field_name, unit, term, term_id): the distinct terms, numbered from 0 without gaps in their order.
+
+    Terms are dealt out by range and written once; each part then needs only the number of terms in the
+    parts before it, which is one small row per part.
+    """
+    keys = ["field_name", "unit", "term"]
+    parts = cut(pairs.select(*keys).distinct().repartitionByRange(*keys).withColumn("part", F.spark_partition_id()))
+    sizes = parts.groupBy("part").count()
+    before = sizes.select("part", (F.sum("count").over(W.orderBy("part")) - F.col("count")).alias("before"))
+    inside = F.row_number().over(W.partitionBy("part").orderBy(*keys)) - 1
+    return parts.withColumn("inside", inside).join(F.broadcast(before), "part").select(*keys, (F.col("inside") + F.col("before")).cast("bigint").alias("term_id"))
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Adds (term_id, occurrences) rows into count arrays by block; at most a few thousand blocks are held at a time."""
+    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def out() -> pd.DataFrame:
+        return pd.DataFrame({"block": list(held), "occurrences": [a for a, _ in held.values()], "records": [b for _, b in held.values()]})
+
+    for pdf in batches:
+        ids, n, has = (pdf[c].to_numpy(dtype=np.int64) for c in ("term_id", "occurrences", "has_record"))
+        order = np.argsort(ids, kind="stable")
+        ids, n, has = ids[order], n[order], has[order]
+        block = ids // BLOCK
+        starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(ids) else []
+        for s, e in zip(starts, [*starts[1:], len(ids)]):
+            a, b = held.setdefault(int(block[s]), (np.zeros(BLOCK, np.int64), np.zeros(BLOCK, np.int64)))
+            at = ids[s:e] % BLOCK
+            a += np.bincount(at, weights=n[s:e], minlength=BLOCK).astype(np.int64)
+            b += np.bincount(at, weights=has[s:e], minlength=BLOCK).astype(np.int64)
+        if len(held) > 2000:
+            yield out()
+            held.clear()
+    if held:
+        yield out()
+
+
+def _summed(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    occurrences, records = np.zeros(BLOCK, np.int64), np.zeros(BLOCK, np.int64)
+    for pdf in batches:
+        occurrences += np.sum(np.stack(pdf["occurrences"].to_numpy()), axis=0)
+        records += np.sum(np.stack(pdf["records"].to_numpy()), axis=0)
+    some = np.flatnonzero(occurrences)
+    yield pd.DataFrame({"term_id": some + int(key[0]) * BLOCK, "occurrences": occurrences[some], "records": records[some]})
+
+
+def term_frequencies(
+    df: DataFrame, record: str, values: list[str], words: list[str], min_records: int = 3, max_share: float = 0.5, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """(field_name, unit, term, term_id, occurrences, records, mark) of every term of `df`.
+
+    `record` names the record a term is counted in once. `mark` is ``too_rare`` below `min_records` distinct
+    records, ``too_common`` above `max_share` of all records, else NULL; a term that is both is too rare.
+    Null and empty values don't count; a null record adds occurrences but is no record. An empty table gives no rows.
+    """
+    pairs = cut(term_pairs(df, record, values, words))
+    total = df.select(F.count_distinct(record).alias("n")).first()["n"]
+    dictionary = cut(global_dictionary(pairs))
+    keys = ["field_name", "unit", "term"]
+    if dictionary.count() <= broadcast_rows:
+        coded = pairs.join(F.broadcast(dictionary), keys)
+    else:
+        salted = dictionary.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        coded = pairs.withColumn("salt", F.pmod(F.xxhash64("record"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"])
+    coded = coded.select("term_id", "occurrences", F.col("record").isNotNull().cast("bigint").alias("has_record"))
+    blocks = coded.mapInPandas(_blocks, "block bigint, occurrences array<bigint>, records array<bigint>")
+    counts = blocks.groupBy("block").applyInPandas(_summed, "term_id bigint, occurrences bigint, records bigint")
+    mark = F.when(F.col("records") < min_records, "too_rare").when(F.col("records") > max_share * total, "too_common")
+    return dictionary.join(counts, "term_id").select(*keys, "term_id", "occurrences", "records", mark.alias("mark"))
+
+
+def issue_term_frequencies(issues: DataFrame) -> DataFrame:
+    """Terms of `type` and `severity` of an issue table, counted by issue and by audit run; redelivered issues count once."""
+    once = one_delivery(issues, "issue_key", ["issue_key", "run_id", "type", "severity"])
+    return term_frequencies(once, "run_id", ["type", "severity"], ["type"])
