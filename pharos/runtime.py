@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,3 +67,17 @@ def bounded_broadcast(small: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[Da
     """`small` marked for broadcast if it has at most `limit` rows, else unmarked; and which of both."""
     fits = len(small.limit(limit + 1).select(F.lit(1)).take(limit + 1)) <= limit if limit < 1000 else small.count() <= limit
     return (F.broadcast(small), True) if fits else (small, False)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that Python stages can import it whatever their path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_pharos_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    to = Path(tempfile.mkdtemp(prefix="pharos-")) / "pharos.zip"
+    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(to))
+    sc._pharos_shipped = True
