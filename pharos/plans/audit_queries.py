@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pharos.operators import dimensions, issues, reports
+from pharos.operators import dimensions, issues, remediation, reports
 from pharos.sources import html_tree, rendered
 from pharos.runtime import table
 
@@ -224,3 +224,52 @@ UNION ALL SELECT 'type', type, CAST(sum(n) AS BIGINT), CAST(0 AS BIGINT), CAST(c
     "criteria_lookup": "SELECT * FROM (VALUES ('A', CAST(30 AS BIGINT)), ('AA', CAST(20 AS BIGINT)), ('AAA', CAST(28 AS BIGINT))) AS t(criterion_level, n)",
     "registry_lookup": "SELECT * FROM (VALUES ('missing-alt-text', '1.1.1', 'critical'), ('generic-alt-text', '1.1.1', 'major'), ('decorative-image-with-alt', '1.1.1', 'minor')) AS t(type, criterion, severity)",
 }
+
+
+def _repaired(spark: SparkSession, sf_dir: str, pages: DataFrame, *checks: str) -> tuple[DataFrame, DataFrame]:
+    """(documents before repair as issues, documents after it as issues) of some checks."""
+    before = issues.audit(pages, detailed=False, checks=list(checks))
+    after = remediation.remediate(pages, before)
+    return before, issues.audit(after.select("doc_id", "file_path", "html"), detailed=False, checks=list(checks), number=False)
+
+
+def _after_repair(rows: str, render: Callable, *checks: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        after = _repaired(spark, sf_dir, render(table(spark, sf_dir, rows)), *checks)[1]
+        return after.groupBy("type", "remediation_status").agg(F.count("*").alias("n"))
+
+    return query
+
+
+def remediation_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of the issues of rendered links, by type."""
+    pages = rendered.links(table(spark, sf_dir, "customer"))
+    done = remediation.remediate(pages, issues.audit(pages, detailed=False, checks=["link_text", "new_window"]))
+    return done.select(F.explode("details").alias("d")).groupBy("d.type", "d.status").agg(F.count("*").alias("n"))
+
+
+def scope_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scopes of the headers of rendered tables after repair."""
+    pages = rendered.tables(table(spark, sf_dir, "orders"))
+    done = remediation.remediate(pages, issues.audit(pages, detailed=False, checks=["table_headers"]))
+    nodes = html_tree.flat_nodes(html_tree.parsed(done.select("doc_id", "file_path", "html"))).where("name = 'th'")
+    return nodes.groupBy(F.coalesce(F.try_element_at("attrs", F.lit("scope")), F.lit("")).alias("scope")).agg(F.count("*").alias("n"))
+
+
+QUERIES |= {
+    "images_after_repair": _after_repair("part", rendered.images, "image_alt"),
+    "figures_after_repair": _after_repair("part", rendered.figures, "figure"),
+    "headings_after_repair": _after_repair("part", rendered.headings, "heading_content"),
+    "forms_after_repair": _after_repair("customer", rendered.forms, "form_labels", "required_fields"),
+    "landmarks_after_repair": _after_repair("supplier", rendered.groups, "main_landmark", "skip_link", "landmarks", "fieldsets"),
+    "remediation_outcomes": remediation_outcomes,
+    "scope_inference": scope_inference,
+}
+ORACLE |= {
+    "images_after_repair": "SELECT CASE WHEN p_size % 6 IN (2, 5) THEN 'compliant-decorative-image' ELSE 'compliant-alt-text' END AS type, 'compliant' AS remediation_status, count(*) AS n FROM part GROUP BY ALL",
+    "figures_after_repair": "SELECT 'compliant-figure-structure' AS type, 'compliant' AS remediation_status, count(*) AS n FROM part",
+    "headings_after_repair": "SELECT 'compliant-heading-content' AS type, 'compliant' AS remediation_status, count(*) AS n FROM part WHERE p_size % 8 <> 0",
+    "landmarks_after_repair": "SELECT 'compliant-' || k AS type, 'compliant' AS remediation_status, count(*) AS n FROM supplier CROSS JOIN (VALUES ('main-landmark'), ('skip-link'), ('navigation-landmark'), ('header-landmark'), ('footer-landmark')) AS t(k) GROUP BY ALL",
+    "remediation_outcomes": f"WITH {_LINKS} SELECT type, CASE WHEN type = 'duplicate-link-text-different-url' THEN 'skipped' ELSE 'remediated' END AS status, CAST(sum(n) AS BIGINT) AS n FROM (SELECT * FROM link_rows UNION ALL SELECT c_custkey, type, severity, status, n FROM customer JOIN windows ON shape = c_custkey % 9) WHERE status = '{_BAD}' GROUP BY ALL",
+    "scope_inference": "SELECT 'col' AS scope, CAST(sum(CASE o_orderkey % 7 WHEN 5 THEN 0 WHEN 3 THEN 1 WHEN 6 THEN 3 ELSE 2 END) AS BIGINT) AS n FROM orders",
+}
