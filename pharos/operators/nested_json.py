@@ -28,7 +28,7 @@ _IS = np.zeros((4, 256), bool)  # opening, closing, colon or comma, any of them
 _IS[0, list(_OPEN)] = _IS[1, list(_CLOSE)] = _IS[2, list(b":,")] = True
 _IS[3] = _IS[0] | _IS[1] | _IS[2]
 
-ROWS = "kind string, report_id bigint, received_at timestamp, delivery bigint, page_key string, page_no bigint, issue_id string, issue_type string, severity string, criterion string, element string, status string, location_no bigint, path string, file_path string, description string, issues bigint"
+ROWS = "kind string, report_id bigint, delivery bigint, page_key string, page_no bigint, issue_id string, issue_type string, severity string, criterion string, element string, status string, location_no bigint, path string, file_path string, description string, issues bigint"
 
 
 #: Members of an issue that become columns of its row.
@@ -219,12 +219,12 @@ def locations_of(index: Index, member) -> list[dict]:
     return out
 
 
-def flat_rows(report_id, received_at, delivery, body) -> Iterator[dict]:
+def flat_rows(report_id, delivery, body) -> Iterator[dict]:
     """All rows of one report. A null, cut or unreadable body has none."""
     index = opened(body)
     if index is None:
         return
-    base = {"report_id": report_id, "received_at": received_at, "delivery": delivery}
+    base = {"report_id": report_id, "delivery": delivery}
     seen: dict[str, dict] = {}
     pages: dict[str | None, dict] = {}
     for key, page, token in issue_places(index):
@@ -272,7 +272,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         held: list[dict] = []
         for r in pdf.itertuples(index=False):
-            held += flat_rows(r.report_id, r.received_at, r.delivery, r.body)
+            held += flat_rows(r.report_id, r.delivery, r.body)
             if len(held) > 20_000:
                 yield _frame(held)
                 held = []
@@ -284,6 +284,8 @@ def _frame(rows: list[dict]) -> pd.DataFrame:
     pdf = pd.DataFrame(rows, columns=_COLUMNS)
     for c in ("report_id", "delivery", "page_no", "location_no", "issues"):
         pdf[c] = pdf[c].astype("Int64")
+    for c in ("page_key", *_COLUMNS[_COLUMNS.index("issue_id") : _COLUMNS.index("location_no")], "path", "file_path", "description"):
+        pdf[c] = pdf[c].astype(object).where(pdf[c].notna(), None)  # a column of missing values alone would be one of numbers
     return pdf
 
 
@@ -298,8 +300,8 @@ def report_rows(reports: DataFrame) -> DataFrame:
     arrow_batches(reports.sparkSession)
     source = reports.where(F.col("report_id").isNotNull()).select("report_id", "received_at", F.xxhash64("body").alias("delivery"), "body")
     last = source.groupBy("report_id").agg(F.max(F.struct(F.coalesce("received_at", F.timestamp_micros(F.lit(0))).alias("at"), F.col("delivery"))).alias("last")).select("report_id", "last.delivery")
-    flat = spread(source).mapInPandas(_parse, ROWS)
-    return flat.join(last, ["report_id", "delivery"], "left_semi").drop("received_at", "delivery").distinct()
+    flat = spread(source.drop("received_at")).mapInPandas(_parse, ROWS)
+    return flat.join(last, ["report_id", "delivery"], "left_semi").drop("delivery").distinct()
 
 
 def report_tables(reports: DataFrame) -> dict[str, DataFrame]:
