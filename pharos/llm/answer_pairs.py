@@ -16,6 +16,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pharos.llm.language_labels import fit_languages
-from pharos.llm.languages import LanguageModel, label_code, ngrams, sentences
+from pharos.llm.languages import LanguageModel, label_code, telling_words
 from pharos.runtime import arrow_batches, bounded_broadcast, cut, spread
 
 #: Languages of the pairs.
@@ -58,10 +59,12 @@ _CLOSED_END = re.compile(r"[.!?)\]\"'»”]\s*$")
 _INSTRUCTION = re.compile(r"^[^:.!?\n]{3,60}:\s+")
 
 
+@lru_cache(maxsize=256)
 def tokens(text: str) -> list[str]:
     return _TOKEN.findall(html.unescape(text).lower())
 
 
+@lru_cache(maxsize=64)  # a pair is looked at from several sides
 def take_apart(content: str) -> tuple[list[str], bool, bool, bool]:
     """(texts of elements and alternative texts, markup broken, has markup, is a decorative image)."""
     fenced = _FENCE.match(content)
@@ -139,12 +142,14 @@ def own_text(prompt: str, answer: str) -> str:
 
 def _judge(model: LanguageModel) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def language(text: str) -> tuple[str, float]:
-        x = model.scores(ngrams(text))
+        x = model.scores(telling_words(text))
         order = np.argsort(x)
         return model.codes[order[-1]], float(x[order[-1]] - x[order[-2]])
 
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            if pdf.empty:
+                continue
             rows = []
             for detail_id, before, after, reason in zip(pdf["detail_id"], pdf["before_content"], pdf["after_content"], pdf["failure_reason"]):
                 before, after, reason = before or "", after or "", (reason or "").strip()
@@ -189,6 +194,8 @@ def _neighbours(first_of: dict[int, str]) -> Callable[[Iterator[pd.DataFrame]],
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, part, rows = None, 0, []
         for pdf in batches:
+            if pdf.empty:
+                continue
             for p, t in zip(pdf["part"], pdf["own"]):
                 part = p
                 if held is not None:
@@ -238,15 +245,10 @@ def broken_off(own: DataFrame) -> DataFrame:
     return judged.where(hit).select("own")
 
 
-def _labelled_sentences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pd.DataFrame({"code": pdf["code"], "sentences": [sentences(t) for t in pdf["text"]]})
-
-
 def document_languages(documents: DataFrame, codes: tuple[str, ...] = PAIR_CODES) -> LanguageModel:
-    """The language model of documents with labels; those without, or with a wrong one, are taken for what the first pass finds."""
-    source = documents.where(F.col("text").isNotNull()).select(label_code(F.col("lang")).alias("code"), "text")
-    return fit_languages(cut(spread(source).mapInPandas(_labelled_sentences, "code string, sentences array<string>")), codes, steps=1)
+    """The language model of all documents whose label names one of the languages, from one pass over them."""
+    source = documents.where(F.col("text").isNotNull()).select(label_code(F.col("lang")).alias("code"), "text").where(F.col("code").isin(*codes))
+    return fit_languages(spread(source).select("code", F.array("text").alias("sentences")), codes, steps=0)
 
 
 def broken_pairs(pairs: DataFrame, documents: DataFrame) -> DataFrame:

@@ -187,6 +187,8 @@ def _search(index: LeakIndex, answers: dict[int, list[str]]) -> Callable[[Iterat
 
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            if pdf.empty:
+                continue
             rows = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
                 ws = words(text)

@@ -8,6 +8,7 @@ of languages (see `languages.mixture`), cut into segments of sentences.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pharos.llm.languages import BUCKETS, CODES, LanguageModel, label_code, ngrams, segments, sentences
+from pharos.llm.languages import BUCKETS, CODES, LanguageModel, bucket_counts, label_code, segments, sentences, telling_words
 from pharos.llm.scan_noise import repaired_texts
 from pharos.runtime import arrow_batches, cut, spread
 
@@ -27,25 +28,38 @@ SURE = 0.9
 
 def _sentences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
+        if pdf.empty:
+            continue
         yield pdf.drop(columns="text").assign(sentences=[sentences(t) for t in pdf["text"]])
 
 
+#: Distinct words of a language that a task holds before it turns them into n-gram counts.
+HELD_WORDS = 300_000
+
+
 def _counts(codes: tuple[str, ...], model: LanguageModel | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((len(codes), BUCKETS), np.float32)
+        total = np.zeros((len(codes), BUCKETS), np.float64)
+        held = [Counter() for _ in codes]
         for pdf in batches:
+            if pdf.empty:
+                continue
             for code, own in zip(pdf["code"], pdf["sentences"]):
+                if model is None and code not in codes:
+                    continue
                 for s in own:
-                    g = ngrams(s)
+                    words = telling_words(s)
                     if model is None:
-                        if code in codes:
-                            total[codes.index(code)] += np.bincount(g, minlength=BUCKETS)
+                        held[codes.index(code)].update(words)
                         continue
-                    x = model.scores(g)
+                    x = model.scores(words)
                     x = np.exp(x - x.max())
                     if x.max() / x.sum() >= SURE:
-                        total[int(x.argmax())] += np.bincount(g, minlength=BUCKETS)
-        yield pd.DataFrame({"language": np.arange(len(codes)), "counts": list(total)})
+                        held[int(x.argmax())].update(words)
+            if max(map(len, held)) > HELD_WORDS:
+                total += bucket_counts(held)
+                held = [Counter() for _ in codes]
+        yield pd.DataFrame({"language": np.arange(len(codes)), "counts": list((total + bucket_counts(held)).astype(np.float32))})
 
     return f
 
@@ -53,6 +67,8 @@ def _counts(codes: tuple[str, ...], model: LanguageModel | None) -> Callable[[It
 def _sum(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total = np.zeros(BUCKETS, np.float64)
     for pdf in batches:
+        if pdf.empty:
+            continue
         for c in pdf["counts"]:
             total += c
     yield pd.DataFrame({"language": [key[0]], "counts": [total.astype(np.float32)]})
@@ -74,11 +90,13 @@ def fit_languages(texts: DataFrame, codes: tuple[str, ...] = CODES, steps: int =
 def _segments(model: LanguageModel) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            if pdf.empty:
+                continue
             rows = []
             for image_id, field, code, own in zip(pdf["image_id"], pdf["field_name"], pdf["code"], pdf["sentences"]):
                 if len(own) == 0:
                     continue
-                found = segments(np.stack([model.scores(ngrams(s)) for s in own]))
+                found = segments(np.stack([model.scores(telling_words(s)) for s in own]))
                 for n, (lang, first, last, sure) in enumerate(found, 1):
                     rows.append((image_id, field, code, n, model.codes[lang], sure, len(found), " ".join(own[first : last + 1])))
             yield pd.DataFrame(rows, columns=["image_id", "field_name", "label_code", "segment_no", "lang_code", "confidence", "segments", "text"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -38,21 +39,20 @@ ORDERS = (1, 2, 3, 4)
 _WORDS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 
 
-def ngrams(text: str) -> np.ndarray:
-    """Buckets of the character n-grams of the words of a text, word ends marked, names and digits left out.
+def telling_words(text: str) -> list[str]:
+    """The words a language is told from, in lower case.
 
-    Words with a capital inside a sentence are left out if the text has other words: they are mostly names and,
-    in the one language that writes nouns so, the other words suffice.
+    Words with a capital are left out if the text has two others: they are mostly names and, in the one language that
+    writes nouns so, the other words suffice.
     """
-    text = unicodedata.normalize("NFC", text)
-    words = [m[0] for m in _WORDS.finditer(text)]
+    words = _WORDS.findall(unicodedata.normalize("NFC", text))
     plain = [w for w in words if w[:1].islower()]
-    use = plain if len(plain) >= 2 else words
-    return np.concatenate([_word_ngrams(w.lower()) for w in use]) if use else np.zeros(0, np.int64)
+    return plain if len(plain) >= 2 else [w.lower() for w in words]
 
 
 @lru_cache(maxsize=100_000)
-def _word_ngrams(w: str) -> np.ndarray:
+def word_ngrams(w: str) -> np.ndarray:
+    """Buckets of the character n-grams of a word, its ends marked, and of the word itself."""
     w = f" {w} "
     out = [zlib.crc32(w[i : i + n].encode("utf-8")) for n in ORDERS for i in range(len(w) - n + 1)]
     return np.array([*out, zlib.crc32(b"w" + w.encode("utf-8"))], dtype=np.int64) % BUCKETS
@@ -66,9 +66,28 @@ class LanguageModel:
         share = (counts + smooth) / (counts.sum(axis=1, keepdims=True) + smooth * BUCKETS)
         self.log = np.log(share).astype(np.float32)
 
-    def scores(self, grams: np.ndarray) -> np.ndarray:
-        """Log-likelihood of a text in each language. Overlapping n-grams tell the same, so the sum is divided by their orders."""
-        return self.log[:, grams].sum(axis=1, dtype=np.float64) / (len(ORDERS) + 1) if len(grams) else np.zeros(len(self.codes))
+        self.known: dict[str, np.ndarray] = {}
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Log-likelihood of words in each language. Overlapping n-grams tell the same, so the sum is divided by their orders."""
+        if len(self.known) > 200_000:
+            self.known.clear()
+        total = np.zeros(len(self.codes))
+        for w in words:
+            x = self.known.get(w)
+            if x is None:
+                x = self.known[w] = self.log[:, word_ngrams(w)].sum(axis=1, dtype=np.float64) / (len(ORDERS) + 1)
+            total += x
+        return total
+
+
+def bucket_counts(counts: list[Counter]) -> np.ndarray:
+    """N-gram counts by language from word counts by language."""
+    total = np.zeros((len(counts), BUCKETS), np.float64)
+    for row, own in zip(total, counts):
+        for w, n in own.items():
+            np.add.at(row, word_ngrams(w), n)
+    return total
 
 
 #: Nats a further language of a text must gain, and what a change of language between two sentences costs.

@@ -69,6 +69,8 @@ def header_key(line: str) -> str | None:
         return None
     s = _EDGE.sub("", s)
     words = s.split()
+    if line.rstrip()[-1:] in HYPHENS and line.rstrip()[-2:-1].isalpha():
+        return None  # a divided word
     if not 1 < len(words) <= 12 or _ENDS.search(line.strip()) or not s[:1].isalnum() or s[:1].islower():
         return None
     return " ".join(re.sub(r"[\doOlI]+", "9", w) if re.search(r"\d", w) and not re.search(r"[^\W\doOlI_]", w) else skeleton(w) for w in words)

@@ -49,6 +49,8 @@ def once(images: DataFrame) -> DataFrame:
 
 def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
+        if pdf.empty:
+            continue
         rows = {(f, i, k) for f, i, t in zip(pdf["file_key"], pdf["image_id"], pdf["text"]) for line in t.split("\n")[:-1] if (k := header_key(line))}
         out = pd.DataFrame(list(rows), columns=["file_key", "image_id", "key"])
         out["templates"] = [skip_templates(k) for k in out["key"]]
@@ -85,6 +87,8 @@ def recurring_lines(texts: DataFrame) -> DataFrame:
 
 def _symbols(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
+        if pdf.empty:
+            continue
         yield pd.DataFrame({"line_symbols": ["".join(str(x.symbol) for x in lines_of(t, set(h) if h is not None else set())) for t, h in zip(pdf["text"], pdf["headers"])]})
 
 
@@ -92,6 +96,8 @@ def _counts(model: LineModel):
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = 0.0
         for pdf in batches:
+            if pdf.empty:
+                continue
             for s, n in zip(pdf["line_symbols"], pdf["n"]):
                 total = total + n * model.expected([int(c) for c in s])
         if not np.isscalar(total):
@@ -118,6 +124,8 @@ def _label(model: LineModel):
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         paths: dict[tuple[int, ...], list[int]] = {}
         for pdf in batches:
+            if pdf.empty:
+                continue
             rows = []
             for t, h in zip(pdf["text"], pdf["headers"]):
                 lines = lines_of(t, set(h) if h is not None else set())
@@ -248,6 +256,8 @@ def _repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     word = regex.compile(WORD)
     for pdf in batches:
+        if pdf.empty:
+            continue
         out = []
         for body, fixes in zip(pdf["body"], pdf["fixes"]):
             own = {f["token"]: f["item"] for f in fixes} if fixes is not None else {}

@@ -48,6 +48,8 @@ def _tokens(path: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFra
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
         for pdf in batches:
+            if pdf.empty:
+                continue
             n = [len(tokenizer.encode(t, add_special_tokens=False)) if t else 0 for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "tokens": n})
 

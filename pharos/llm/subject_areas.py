@@ -69,6 +69,8 @@ def doc_sentences(text: str, items: set[tuple[str, str]]) -> list[list[str]]:
 def _split(items: set[tuple[str, str]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            if pdf.empty:
+                continue
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "code": pdf["code"], "sentences": [[" ".join(s) for s in doc_sentences(t, items)] for t in pdf["text"]]})
 
     return f
@@ -114,6 +116,8 @@ def _summed(parts: DataFrame, shape: tuple[int, ...]) -> np.ndarray:
     def add(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for pdf in batches:
+            if pdf.empty:
+                continue
             for v in pdf["values"]:
                 total = np.array(v, np.float64) if total is None else total + v
         yield pd.DataFrame({"block": [key[0]], "values": [total]})
@@ -148,6 +152,8 @@ def decompose(texts: DataFrame, space: Space, dimensions: int = DIMENSIONS, step
             space, q = told.value
             total = np.zeros(q.shape, np.float64)
             for pdf in batches:
+                if pdf.empty:
+                    continue
                 for s in pdf["sentences"]:
                     at, x = space.row(s)
                     if len(at):
@@ -194,6 +200,8 @@ def _taught(told, first: bool, hold: bool) -> Callable[[Iterator[pd.DataFrame]],
         model: Classifier = told.value
         total = np.zeros(model.centroids.shape, np.float64)
         for pdf in batches:
+            if pdf.empty:
+                continue
             for code, own, labels in zip(pdf["code"], pdf["sentences"], pdf["labels"]):
                 if len(own) == 0:
                     continue
@@ -232,6 +240,8 @@ def _shares(told) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model: Classifier = told.value
         for pdf in batches:
+            if pdf.empty:
+                continue
             rows = []
             for doc_id, code, own in zip(pdf["doc_id"], pdf["code"], pdf["sentences"]):
                 if len(own) == 0:
