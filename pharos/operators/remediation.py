@@ -482,6 +482,8 @@ def repaired(html: str | None, issues: list[tuple[str, str, int | None]]) -> tup
 
 def _rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
+        if pdf.empty:
+            continue
         done = [repaired(h, [(i["id"], i["type"], i["node_pre"]) for i in (todo if todo is not None else [])]) for h, todo in zip(pdf["html"], pdf["todo"])]
         yield pd.DataFrame({"doc_id": pdf["doc_id"], "file_path": pdf["file_path"], "html": [d[0] for d in done], "details": [d[1] for d in done]})
 

@@ -136,6 +136,8 @@ def _page(nodes: list[dict], n: dict) -> int | None:
 
 def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
+        if pdf.empty:
+            continue
         yield pdf.drop(columns="html").assign(nodes=[parse(h) for h in pdf["html"]])
 
 
