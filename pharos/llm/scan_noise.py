@@ -52,9 +52,7 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if pdf.empty:
             continue
         rows = {(f, i, k) for f, i, t in zip(pdf["file_key"], pdf["image_id"], pdf["text"]) for line in t.split("\n")[:-1] if (k := header_key(line))}
-        out = pd.DataFrame(list(rows), columns=["file_key", "image_id", "key"])
-        out["templates"] = [skip_templates(k) for k in out["key"]]
-        yield out
+        yield pd.DataFrame([(*r, skip_templates(r[2])) for r in rows], columns=["file_key", "image_id", "key", "templates"])
 
 
 def recurring_lines(texts: DataFrame) -> DataFrame:
