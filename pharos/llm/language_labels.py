@@ -56,6 +56,8 @@ def _counts(codes: tuple[str, ...], model: LanguageModel | None) -> Callable[[It
                     x = np.exp(x - x.max())
                     if x.max() / x.sum() >= SURE:
                         held[int(x.argmax())].update(words)
+                    elif code in codes:  # else its words would be lost to all languages
+                        held[codes.index(code)].update(words)
             if max(map(len, held)) > HELD_WORDS:
                 total += bucket_counts(held)
                 held = [Counter() for _ in codes]

@@ -61,7 +61,7 @@ def word_ngrams(w: str) -> np.ndarray:
 class LanguageModel:
     """Log-likelihoods of n-grams by language, from counts of shape (languages, BUCKETS)."""
 
-    def __init__(self, codes: tuple[str, ...], counts: np.ndarray, smooth: float = 0.5):
+    def __init__(self, codes: tuple[str, ...], counts: np.ndarray, smooth: float = 0.1):
         self.codes = codes
         share = (counts + smooth) / (counts.sum(axis=1, keepdims=True) + smooth * BUCKETS)
         self.log = np.log(share).astype(np.float32)
