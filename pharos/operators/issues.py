@@ -13,9 +13,9 @@ from pharos.sources.html_tree import parsed
 DONE = ("remediated", "auto_remediated")
 
 
-def candidates(trees: DataFrame, checks: list[str] | None = None) -> DataFrame:
+def candidates(trees: DataFrame, checks: list[str] | None = None, rules: dict[str, str] = CHECKS) -> DataFrame:
     """All candidates of a set of checks (default: all), with their place in the order of checks and of findings. No shuffle."""
-    chosen = [(i, c, CHECKS[c]) for i, c in enumerate(CHECKS) if checks is None or c in checks]
+    chosen = [(i, c, rules[c]) for i, c in enumerate(rules) if checks is None or c in checks]
     found = F.array(*[F.struct(F.lit(i).alias("check_ord"), F.lit(c).alias("check"), F.expr(e).alias("found")) for i, c, e in chosen])
     by_check = trees.select("*", F.explode(found).alias("c"))
     rows = by_check.select("*", "c.check_ord", "c.check", F.posexplode("c.found").alias("emit_ord", "issue")).drop("c")
