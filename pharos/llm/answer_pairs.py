@@ -6,7 +6,8 @@ answers, refusals, copies and broken markup. Truncation of texts whose markup is
 * the distinct texts are sorted across the cluster and each is compared with its successor, which starts with it if it is
   a shortened version of it; only the first text of each part crosses between parts;
 * lengths at which unended texts pile up are limits, and shortened versions of such a length were cut;
-* a last word that hardly ever ends a text, or is only the beginning of words, shows that a text breaks off.
+* a last word that hardly ever ends a text, or is only the beginning of words, shows that a text breaks off; both are
+  shares of its uses, so that they hold for tables of any size.
 
 The language of prompt and answer comes from an n-gram model fitted on labelled documents.
 """
@@ -33,6 +34,8 @@ PAIR_CODES = ("en", "de", "fr", "es")
 LEAD = 4.0
 #: A word met this often ends a text in less than this share of its uses: a text that ends with it breaks off.
 MET, ENDS = 20, 0.02
+#: A piece of a word ends an unended text in at least this share of its uses, and the words it begins are met this many times as often.
+PIECE_ENDS, PIECE_BEGINS = 0.9, 5
 #: Words a remark before a copy may have.
 REMARK = 14
 
@@ -225,18 +228,18 @@ def broken_off(own: DataFrame) -> DataFrame:
     """(own) of the texts that break off, from all texts `own` (one row per answer)."""
     texts = cut(own.groupBy("own").agg(F.count("*").alias("n")))
     words = texts.select("n", F.explode(F.regexp_extract_all(F.lower("own"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))).alias("word")).groupBy("word").agg(F.sum("n").alias("met"))
-    ends = texts.select("n", _last("own").alias("word")).groupBy("word").agg(F.sum("n").alias("ends"))
-    words = cut(words.join(ends, "word", "left").select("word", "met", F.coalesce("ends", F.lit(0)).alias("ends")))
     unended = ~F.rlike("own", F.lit(r"[.!?)\]\"'»”]\s*$"))
+    ends = texts.select("n", _last("own").alias("word"), unended.alias("open")).groupBy("word").agg(F.sum("n").alias("ends"), F.sum(F.when(F.col("open"), F.col("n"))).alias("open_ends"))
+    words = cut(words.join(ends, "word", "left").select("word", "met", F.coalesce("ends", F.lit(0)).alias("ends"), F.coalesce("open_ends", F.lit(0)).alias("open_ends")))
     lengths = texts.where(unended).groupBy(F.length("own").alias("length")).agg(F.sum("n").alias("n"))
     near = lengths.select("length", "n", F.explode(F.sequence(F.col("length") - 5, F.col("length") + 5)).alias("at"))
     limits = near.groupBy("at").agg(F.sum(F.when(F.col("length") == F.col("at"), F.col("n"))).alias("here"), F.sum("n").alias("around"))
     limits = limits.where((F.col("here") >= 10) & (F.col("here") > 3 * (F.col("around") - F.col("here")) / 10)).select(F.col("at").alias("length"), F.lit(True).alias("limit"))
-    # a word that is met hardly ever and begins much commoner ones is a piece of one
-    rare = words.where((F.col("met") <= 2) & (F.length("word") >= 1) & F.col("word").rlike(r"^\p{L}+$"))
+    # a word that does hardly anything but end unended texts and begins much commoner ones is a piece of one, however often it is met; of one met hardly ever, no share can be told
+    last = words.where(((F.col("met") <= 2) | (F.col("open_ends") >= PIECE_ENDS * F.col("met"))) & (F.length("word") >= 1) & F.col("word").rlike(r"^\p{L}+$"))
     longer = words.where((F.col("met") >= 3) & F.col("word").rlike(r"^\p{L}+$")).select("met", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - 1, F.lit(1))), lambda i: F.substring("word", F.lit(1), i))).alias("piece"))
     longer = longer.groupBy("piece").agg(F.sum("met").alias("begins"))
-    pieces = rare.join(longer, F.col("word") == F.col("piece")).where(F.col("begins") >= 5).select("word", F.lit(True).alias("piece"))
+    pieces = last.join(longer, F.col("word") == F.col("piece")).where(F.col("begins") >= PIECE_BEGINS * F.when(F.col("met") <= 2, 1).otherwise(F.col("met"))).select("word", F.lit(True).alias("piece"))
     judged = texts.where(unended).select("own", _last("own").alias("word"), F.length("own").alias("length"))
     small, _ = bounded_broadcast(limits)
     judged = judged.join(shortened(texts.select("own")), "own", "left").join(words, "word", "left").join(pieces, "word", "left").join(small, "length", "left")

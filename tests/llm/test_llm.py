@@ -107,6 +107,16 @@ def test_answer_pairs(spark):
     assert answer_pairs.broken_pairs(df.limit(0), docs).count() == 0
 
 
+def test_pieces_of_words_whatever_their_number(spark):
+    for times in (1, 2, 3, 40):
+        rows = [f"The keeper closed gate {i} and changed the lock of the park" for i in range(60 * times)]
+        cuts = [f"Guard {i} took the pulse and cha" for i in range(times)]
+        # a whole word that only ends unended texts is none, though longer ones begin with it
+        whole = [f"Visitor {i} may not park here" for i in range(30 * times)] + [f"Visitor {i} came heretofore by bus." for i in range(60 * times)]
+        df = spark.createDataFrame([(x,) for x in rows + cuts + whole], "own string")
+        assert {r.own for r in answer_pairs.broken_off(df).collect()} == set(cuts)
+
+
 def edits_at_most(item, doc, run=20, per=10):
     """Brute force: whether some run of the item is within its edits of some stretch of the document."""
     for i in range(len(item) - run + 1):
