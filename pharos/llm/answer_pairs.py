@@ -9,7 +9,8 @@ answers, refusals, copies and broken markup. Truncation of texts whose markup is
 * a last word that hardly ever ends a text, or is only the beginning of words, shows that a text breaks off; both are
   shares of its uses, so that they hold for tables of any size.
 
-The language of prompt and answer comes from an n-gram model fitted on labelled documents.
+The language of prompt and answer comes from an n-gram model fitted on all documents, from their labels first and then from
+what each sentence is found to be.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pharos.llm.language_labels import fit_languages
-from pharos.llm.languages import LanguageModel, label_code, telling_words
+from pharos.llm.languages import LanguageModel, label_code, marked_sentences, telling_words
 from pharos.runtime import arrow_batches, bounded_broadcast, cut, spread
 
 #: Languages of the pairs.
@@ -248,10 +249,21 @@ def broken_off(own: DataFrame) -> DataFrame:
     return judged.where(hit).select("own")
 
 
+def _split_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        yield pd.DataFrame({"code": pdf["code"], "sentences": [[" ".join(ws) for ws in marked_sentences(t)] for t in pdf["text"]]})
+
+
 def document_languages(documents: DataFrame, codes: tuple[str, ...] = PAIR_CODES) -> LanguageModel:
-    """The language model of all documents whose label names one of the languages, from one pass over them."""
-    source = documents.where(F.col("text").isNotNull()).select(label_code(F.col("lang")).alias("code"), "text").where(F.col("code").isin(*codes))
-    return fit_languages(spread(source).select("code", F.array("text").alias("sentences")), codes, steps=0)
+    """The language model of all documents.
+
+    The first pass takes the labels as they are; the second takes each sentence, of documents without a label or with a
+    wrong one too, for what the first made of it. Markup and entities count for no language.
+    """
+    source = documents.where(F.col("text").isNotNull()).select(label_code(F.col("lang")).alias("code"), "text")
+    return fit_languages(cut(spread(source).mapInPandas(_split_documents, "code string, sentences array<string>")), codes, steps=1, words_of=str.split)
 
 
 def broken_pairs(pairs: DataFrame, documents: DataFrame) -> DataFrame:

@@ -37,27 +37,28 @@ def _sentences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 HELD_WORDS = 300_000
 
 
-def _counts(codes: tuple[str, ...], model: LanguageModel | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _counts(codes: tuple[str, ...], model: LanguageModel | None, words_of: Callable[[str], list[str]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((len(codes), BUCKETS), np.float64)
         held = [Counter() for _ in codes]
         for pdf in batches:
             if pdf.empty:
                 continue
-            for code, own in zip(pdf["code"], pdf["sentences"]):
-                if model is None and code not in codes:
-                    continue
-                for s in own:
-                    words = telling_words(s)
-                    if model is None:
-                        held[codes.index(code)].update(words)
-                        continue
-                    x = model.scores(words)
-                    x = np.exp(x - x.max())
-                    if x.max() / x.sum() >= SURE:
-                        held[int(x.argmax())].update(words)
+            if model is None:
+                for code, own in zip(pdf["code"], pdf["sentences"]):
+                    if code in codes:
+                        for s in own:
+                            held[codes.index(code)].update(words_of(s))
+            else:
+                texts = [(code, words_of(s)) for code, own in zip(pdf["code"], pdf["sentences"]) for s in own]
+                x = model.all_scores([ws for _, ws in texts])
+                x = np.exp(x - x.max(axis=1, keepdims=True))
+                sure = x.max(axis=1) / x.sum(axis=1) >= SURE
+                for (code, ws), best, ok in zip(texts, x.argmax(axis=1).tolist(), sure.tolist()):
+                    if ok:
+                        held[best].update(ws)
                     elif code in codes:  # else its words would be lost to all languages
-                        held[codes.index(code)].update(words)
+                        held[codes.index(code)].update(ws)
             if max(map(len, held)) > HELD_WORDS:
                 total += bucket_counts(held)
                 held = [Counter() for _ in codes]
@@ -76,11 +77,11 @@ def _sum(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"language": [key[0]], "counts": [total.astype(np.float32)]})
 
 
-def fit_languages(texts: DataFrame, codes: tuple[str, ...] = CODES, steps: int = EM_STEPS) -> LanguageModel:
-    """The language model of texts given as (code, sentences); `code` may be NULL or wrong."""
+def fit_languages(texts: DataFrame, codes: tuple[str, ...] = CODES, steps: int = EM_STEPS, words_of: Callable[[str], list[str]] = telling_words) -> LanguageModel:
+    """The language model of texts given as (code, sentences); `code` may be NULL or wrong. `words_of` gives a sentence's telling words."""
     model = None
     for _ in range(steps + 1):
-        parts = texts.select("code", "sentences").mapInPandas(_counts(codes, model), "language int, counts array<float>")
+        parts = texts.select("code", "sentences").mapInPandas(_counts(codes, model, words_of), "language int, counts array<float>")
         rows = parts.groupBy("language").applyInPandas(_sum, "language int, counts array<float>").collect()
         counts = np.zeros((len(codes), BUCKETS))
         for r in rows:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import re
 import unicodedata
 import zlib
@@ -45,7 +46,10 @@ def telling_words(text: str) -> list[str]:
     Words with a capital are left out if the text has two others: they are mostly names and, in the one language that
     writes nouns so, the other words suffice.
     """
-    words = _WORDS.findall(unicodedata.normalize("NFC", text))
+    return _telling(_WORDS.findall(unicodedata.normalize("NFC", text)))
+
+
+def _telling(words: list[str]) -> list[str]:
     plain = [w for w in words if w[:1].islower()]
     return plain if len(plain) >= 2 else [w.lower() for w in words]
 
@@ -67,6 +71,8 @@ class LanguageModel:
         self.log = np.log(share).astype(np.float32)
 
         self.known: dict[str, np.ndarray] = {}
+        self.at: dict[str, int] = {}
+        self.rows = np.zeros((1024, len(codes)))
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Log-likelihood of words in each language. Overlapping n-grams tell the same, so the sum is divided by their orders."""
@@ -80,6 +86,23 @@ class LanguageModel:
             total += x
         return total
 
+    def all_scores(self, texts: list[list[str]]) -> np.ndarray:
+        """`scores` of many texts at once, one row each."""
+        if len(self.at) > 200_000:
+            self.at.clear()
+        flat = [w for ws in texts for w in ws]
+        for w in set(flat).difference(self.at):
+            k = self.at[w] = len(self.at)
+            if k == len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.rows[k] = self.scores([w])
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        some = sizes > 0
+        out = np.zeros((len(texts), len(self.codes)))
+        if flat:
+            out[some] = np.add.reduceat(self.rows[np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))], (np.cumsum(sizes) - sizes)[some])
+        return out
+
 
 def bucket_counts(counts: list[Counter]) -> np.ndarray:
     """N-gram counts by language from word counts by language."""
@@ -93,6 +116,7 @@ def bucket_counts(counts: list[Counter]) -> np.ndarray:
 #: Nats a further language of a text must gain, and what a change of language between two sentences costs.
 LANGUAGE_COST, CHANGE_COST = 6.0, 2.0
 _MARK = re.compile(r"<[^<>]*>[^<>]*</[^<>]*>|<[^<>]*>")
+_TAG = re.compile(r"<[^<>]*>")
 _SPLIT = re.compile(r"(?<=[.!?…])[\"'»”)]*\s+(?=[\"'„«“(¿¡]?[^\W_a-zà-ÿ])")
 _FULL = re.compile(r"[.!?…][\"'»”)]*$")
 
@@ -115,6 +139,23 @@ def sentences(text: str) -> list[str]:
     return out
 
 
+def marked_sentences(text: str) -> list[list[str]]:
+    """The telling words of the sentences of a text with markup, tags and entities taken out.
+
+    Unlike with `sentences`, what stands between tags is text, and headings and pieces without an end are too.
+    """
+    out: list[list[str]] = []
+    clean = unicodedata.normalize("NFC", html.unescape(_TAG.sub(" ", text)))
+    for paragraph in re.split(r"\n\s*\n", clean):
+        for p in _SPLIT.split(" ".join(paragraph.split())):
+            words = _WORDS.findall(p)
+            if out and len(words) < 3:
+                out[-1] += words
+            elif words:
+                out.append(words)
+    return [_telling(ws) for ws in out]
+
+
 def mixture(ll: np.ndarray, steps: int = 20) -> tuple[list[int], np.ndarray]:
     """(languages, proportions) of a text from its sentences' log-likelihoods by expectation-maximisation.
 

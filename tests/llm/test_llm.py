@@ -117,6 +117,21 @@ def test_pieces_of_words_whatever_their_number(spark):
         assert {r.own for r in answer_pairs.broken_off(df).collect()} == set(cuts)
 
 
+def test_document_languages_read_all_documents_without_markup(spark):
+    rows = [(f"{t}. {t}.", c) for c, ts in TEXTS.items() for t in ts] * 5
+    rows += [(f"Die Wärterin schloss das Tor, und die Schwester fand quarzige und xylophonische Käfer. {TEXTS['de'][2]}.", label) for label in (None, "und")] * 10
+    rows += [(f"<figure><strong>{t}</strong>&nbsp;&thinsp;{t}.</figure>", "es") for t in TEXTS["es"]] * 5
+    model = answer_pairs.document_languages(spark.createDataFrame(rows, "text string, lang string"))
+    told = lambda *ws: dict(zip(model.codes, model.scores([*ws])))
+    x = told("quarzige", "xylophonische")
+    assert x["de"] - max(v for c, v in x.items() if c != "de") > answer_pairs.LEAD
+    x = told("strong", "figure", "nbsp", "thinsp")
+    assert x["es"] - max(v for c, v in x.items() if c != "es") < answer_pairs.LEAD
+    assert languages.marked_sentences("<p>Eins und zwei. Drei &amp; vier <b>sind</b> mehr</p>\n\n<li>Nur") == [["und", "zwei"], ["vier", "sind", "mehr"]]
+    texts = [["strong"], [], ["die", "keeper", "die"], []]
+    assert np.allclose(model.all_scores(texts), [model.scores(ws) for ws in texts])
+
+
 def edits_at_most(item, doc, run=20, per=10):
     """Brute force: whether some run of the item is within its edits of some stretch of the document."""
     for i in range(len(item) - run + 1):
