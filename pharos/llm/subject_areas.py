@@ -1,8 +1,7 @@
 """Subject areas of documents by latent semantic analysis.
 
-1. Terms: document frequencies over all documents. Terms in fewer than `LEAST_SHARE` of them are left out, which bounds the
-   vocabulary by the mean number of distinct words of a document divided by that share, however many documents there are;
-   the rest are weighted by their inverse document frequency.
+1. Terms: document frequencies over all documents. Every term of `LEAST` documents counts, however small the share of its
+   language or subject; it is weighted by its inverse document frequency.
 2. Embedding: truncated singular value decomposition of the document-term matrix by subspace iteration. A pass multiplies
    the rows where they are; what is summed across the cluster is one matrix of vocabulary x dimensions.
 3. Seeds: sentences of hand-labelled documents, one centroid for each language and subject, and one for none of them.
@@ -27,8 +26,8 @@ from pharos.llm.languages import label_code
 from pharos.runtime import arrow_batches, cut, spread
 
 TREATED = 0.2
-#: Least share of documents, and least number, that a term must be in.
-LEAST_SHARE, LEAST = 0.0012, 3
+#: Least number of documents that a term must be in; one of fewer says nothing of others.
+LEAST = 3
 DIMENSIONS, SVD_STEPS = 64, 4
 #: Refinements with labelled documents kept to their labels, and after that without.
 HELD_STEPS, FREE_STEPS = 3, 2
@@ -103,10 +102,10 @@ class Space:
 
 
 def vocabulary(texts: DataFrame) -> Space:
-    """Terms and weights of all documents; its size is bounded by the least share a term must have."""
+    """Terms and weights of all documents; it grows with the distinct words of the corpus."""
     total = texts.count()
     ws = texts.select(F.explode(F.array_distinct(F.flatten(F.transform("sentences", lambda s: F.split(s, " "))))).alias("term"))
-    rows = ws.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= max(LEAST, LEAST_SHARE * total)).orderBy("term").collect()
+    rows = ws.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= LEAST).orderBy("term").collect()
     return Space({r["term"]: i for i, r in enumerate(rows)}, np.log((1 + total) / (1 + np.array([r["df"] for r in rows], float))).astype(np.float32))
 
 

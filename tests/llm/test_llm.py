@@ -229,3 +229,9 @@ def test_subjects(spark):
     right = sum(got.get(i, set()) == want[i] for i in want)
     assert right >= 0.95 * len(want)
     assert subject_areas.treated_subjects(docs.limit(0), told, areas, items).count() == 0
+
+
+def test_vocabulary_keeps_terms_of_a_small_share(spark):
+    rows = [(["the judge heard the appeal"],)] * 5000 + [(["sędzia wysłuchał apelacji"],)] * 4 + [(["hapax"],)]
+    space = subject_areas.vocabulary(spark.createDataFrame(rows, "sentences array<string>"))
+    assert set(space.terms) == {"the", "judge", "heard", "appeal", "sędzia", "wysłuchał", "apelacji"}
