@@ -239,3 +239,36 @@ def originals(read: str, most: int = 2) -> list[tuple[str, int]]:
                     i = w.find(seen, i + 1)
         level = nxt
     return [(w, n) for w, n in found.items() if n]
+
+
+#: Shapes that characters and pairs of them are made of: what is confused has one spelling in shapes.
+_SHAPES = {
+    "0": "o", "1": "i", "l": "i", "5": "s", "t": "s", "f": "s", "ſ": "s", "9": "g", "@": "a", "2": "z", "c": "e",
+    "h": "ii", "b": "ii", "6": "ii", "8": "ii", "u": "ii", "n": "ri", "m": "rri", "d": "ei", "w": "vv",
+}
+
+
+def shapes(word: str) -> str:
+    """A form that a word shares with all that comes of it by any number of confusions."""
+    return "".join(_SHAPES.get(c, c) for c in word)
+
+
+def confusions(right: str, read: str) -> int | None:
+    """The least number of confusions that turn `right` into `read`, each at a place of its own or, if two at most, one upon the other; None if none do."""
+    best: list[float] = [0.0] + [np.inf] * len(read)
+    rows = [best]
+    for i in range(len(right) + 1):
+        row = rows[i] if i < len(rows) else [np.inf] * (len(read) + 1)
+        rows += [[np.inf] * (len(read) + 1) for _ in range(max(0, i + 3 - len(rows)))]
+        for j, n in enumerate(row):
+            if n == np.inf:
+                continue
+            if right[i : i + 1] and right[i : i + 1] == read[j : j + 1]:
+                rows[i + 1][j + 1] = min(rows[i + 1][j + 1], n)
+            for a, b in CONFUSED:
+                if right.startswith(a, i) and read.startswith(b, j):
+                    rows[i + len(a)][j + len(b)] = min(rows[i + len(a)][j + len(b)], n + 1)
+    n = rows[len(right)][len(read)]
+    if n > 2:
+        n = dict(originals(read)).get(right, n)
+    return None if n == np.inf else int(n)

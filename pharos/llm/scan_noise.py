@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pharos.llm.languages import label_code
-from pharos.llm.scan_lines import HYPHENS, JOIN, STATES, SYMBOLS, LineModel, header_key, lines_of, originals, reassembled, skip_templates
+from pharos.llm.scan_lines import HYPHENS, JOIN, STATES, SYMBOLS, LineModel, confusions, header_key, lines_of, reassembled, shapes, skip_templates
 from pharos.runtime import arrow_batches, bounded_broadcast, cut, spread
 
 FIELDS = ("prev", "current", "next", "context")
@@ -159,11 +159,15 @@ def words_in(body: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(body, r"<[^<>]*>[^<>]*</[^<>]*>", " "), F.lit(f"({WORD})"), F.lit(1))
 
 
-def _originals(c: str) -> Column:
-    def f(w: pd.Series) -> pd.Series:
-        return w.map(lambda x: [{"item": a, "steps": n} for a, n in originals(x)])
+def _shapes(c: str) -> Column:
+    return F.pandas_udf(lambda w: w.map(shapes), "string")(c)
 
-    return F.pandas_udf(f, "array<struct<item string, steps int>>")(c)
+
+def _confusions(right: str, read: str) -> Column:
+    def f(right: pd.Series, read: pd.Series) -> pd.Series:
+        return pd.Series([confusions(a, b) for a, b in zip(right, read)], dtype="Int32")
+
+    return F.pandas_udf(f, "int")(right, read)
 
 
 def lexicon(body: DataFrame, code: Column) -> DataFrame:
@@ -188,16 +192,17 @@ def lexicon(body: DataFrame, code: Column) -> DataFrame:
 def misreadings(words: DataFrame) -> DataFrame:
     """(read, item): misread words and the right ones.
 
-    Every word that may be misread is taken back by one or two confusions of characters, and what comes out is
-    looked up; the right word is much commoner, no name and free of digits. Of several right words the one with
-    the fewest confusions, then the commonest, is taken.
+    Every word of two letters or more that may be misread meets the words it shares its shapes with, and is aligned with
+    each to count the confusions of characters, as many as there are; the right word is much commoner, no name and free
+    of digits. Of several right words the one with the fewest confusions, then the commonest, is taken. Words of one
+    letter are left out: a single digit is a number.
     """
     odd = F.col("read").rlike(r"\p{L}[0-9@ſ]|[0-9@ſ]\p{L}") & ~F.col("read").rlike(r"^[0-9]+\p{L}{1,2}$")
-    right = words.where((F.col("n") >= 4) & ~F.col("is_name") & ~F.col("word").rlike(r"[0-9@ſ]") & (F.length("word") > 2)).select(F.col("word").alias("item"), "n")
+    right = words.where((F.col("n") >= 4) & ~F.col("is_name") & ~F.col("word").rlike(r"[0-9@ſ]") & (F.length("word") > 1)).select(F.col("word").alias("item"), "n", _shapes("word").alias("shapes"))
     most = right.agg(F.max("n").alias("n")).first()["n"] or 0  # a word above this share of the commonest can't be a misreading
-    may = words.where((F.length("word") > 2) & F.col("word").rlike(r"\p{L}")).select(F.col("word").alias("read"), F.col("n").alias("few")).where(odd | (F.col("few") <= MOST_SHARE * most))
-    tried = may.select("read", "few", odd.alias("odd"), F.explode(_originals("read")).alias("o")).select("read", "few", "odd", "o.*")
-    pairs = tried.join(right, "item").where(F.when(F.col("odd"), F.col("few") < F.col("n")).otherwise(F.col("few") <= F.when(F.col("steps") < 2, MOST_SHARE).otherwise(MOST_SHARE_TWICE) * F.col("n")))
+    may = words.where((F.length("word") > 1) & F.col("word").rlike(r"\p{L}")).select(F.col("word").alias("read"), F.col("n").alias("few")).where(odd | (F.col("few") <= MOST_SHARE * most))
+    tried = may.select("read", "few", odd.alias("odd"), _shapes("read").alias("shapes")).join(right, "shapes").where(F.col("read") != F.col("item"))
+    pairs = tried.withColumn("steps", _confusions("item", "read")).where(F.col("steps").isNotNull()).where(F.when(F.col("odd"), F.col("few") < F.col("n")).otherwise(F.col("few") <= F.when(F.col("steps") < 2, MOST_SHARE).otherwise(MOST_SHARE_TWICE) * F.col("n")))
     best = pairs.groupBy("read").agg(F.max(F.struct((-F.col("steps")).alias("s"), "n", "item")).alias("b"))
     return best.select("read", "b.item")
 

@@ -235,3 +235,14 @@ def test_vocabulary_keeps_terms_of_a_small_share(spark):
     rows = [(["the judge heard the appeal"],)] * 5000 + [(["sędzia wysłuchał apelacji"],)] * 4 + [(["hapax"],)]
     space = subject_areas.vocabulary(spark.createDataFrame(rows, "sentences array<string>"))
     assert set(space.terms) == {"the", "judge", "heard", "appeal", "sędzia", "wysłuchał", "apelacji"}
+
+
+def test_misreadings_of_any_number_of_confusions_and_of_two_letters(spark):
+    rows = [("possibilities", 400, False), ("of", 900, False), ("to", 900, False), ("Lisboa".lower(), 90, True), ("nurse", 300, False)]
+    read = [("p055ibi1ities", "possibilities"), ("p0551b1l1t1e5", "possibilities"), ("0f", "of"), ("t0", "to"), ("nur5e", "nurse"), ("1i5b0a", None), ("4th", None), ("r0", None)]
+    words = spark.createDataFrame(rows + [(r, 1, False) for r, _ in read], "word string, n bigint, is_name boolean")
+    assert {r.read: r["item"] for r in scan_noise.misreadings(words).collect()} == {r: w for r, w in read if w}
+    assert all(scan_lines.shapes(a) == scan_lines.shapes(b) and scan_lines.confusions(a, b) == 1 for a, b in scan_lines.CONFUSED)
+    assert scan_lines.confusions("modern", "rn0dcm") == 4 and scan_lines.confusions("modern", "modest") is None
+    for w in ("hand", "million", "window"):
+        assert all(n == scan_lines.confusions(v, w) for v, n in scan_lines.originals(w))
