@@ -60,6 +60,8 @@ _VOID = {"img", "br", "hr", "input", "meta", "link", "source", "wbr"}
 _TOKEN = re.compile(r"[^\W_]+")
 _OPEN_END = re.compile(r"(?:…|\.\.\.|\[\s*(?:…|\.\.\.)\s*\]|[,;:–—(\-])\s*$")
 _CLOSED_END = re.compile(r"[.!?)\]\"'»”]\s*$")
+#: What stands before a model's answer in a failure_reason; a reason that begins neither with it nor with markup is a technical failure.
+_REPLY = re.compile(r"^\s*(?:model(?:'s)?\s+)?(?:reply|answer|response|output)\s*[:–—-]\s*", re.I)
 _INSTRUCTION = re.compile(r"^[^:.!?\n]{3,60}:\s+")
 
 
@@ -144,6 +146,13 @@ def own_text(prompt: str, answer: str) -> str:
     return " ".join(max(new, key=len, default="").split())
 
 
+def reply_in(reason: str) -> str | None:
+    """The model's answer that a failure_reason tells; None if it tells a technical failure."""
+    lead = _REPLY.match(reason)
+    answer = reason[lead.end() :] if lead else reason
+    return answer if lead or answer.lstrip().startswith("<") else None
+
+
 def _judge(model: LanguageModel) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def language(text: str) -> tuple[str, float]:
         x = model.scores(telling_words(text))
@@ -169,7 +178,11 @@ def _judge(model: LanguageModel) -> Callable[[Iterator[pd.DataFrame]], Iterator[
                     defect = "" if reason or (decorative and given) else "empty"
                 elif _REFUSED.search(said):
                     defect = "refusal"
-                elif given:
+                elif is_copy(before, answer):
+                    defect = "copy"
+                elif given or (answer := reply_in(reason)):
+                    if not given:
+                        texts, broken, marked, decorative = take_apart(answer)
                     if is_copy(before, answer):
                         defect = "copy"
                     else:

@@ -117,6 +117,18 @@ def test_pieces_of_words_whatever_their_number(spark):
         assert {r.own for r in answer_pairs.broken_off(df).collect()} == set(cuts)
 
 
+def test_answers_in_failure_reasons(spark):
+    docs = spark.createDataFrame([(f"{t}. {t}.", c) for c, ts in TEXTS.items() for t in ts] * 5, "text string, lang string")
+    p = f"<p>{TEXTS['en'][0]}. {TEXTS['en'][1]}.</p>"
+    cases = [
+        (p, "copy"), (f"model reply: {p}", "copy"), (f"model reply: {TEXTS['de'][2]}.", "other_language"), (f"model reply: {TEXTS['en'][2]}.", None), ("model reply: A nurse took the...", "truncated"),
+        ('<img src="a.png" alt="A nurse took', "truncated"), ("cannot parse <figure> element", None), ('model reply: <img src="a.png" alt="A nurse took', "truncated"), ("invalid JSON in model reply", None), ("selector matched no element", None), ("Zeit überschritten, keine Antwort von dem Dienst", None),
+    ]
+    rows = [(i, p, None, r, "failed") for i, (r, _) in enumerate(cases)]
+    df = spark.createDataFrame(rows, "detail_id bigint, before_content string, after_content string, failure_reason string, remediation_status string")
+    assert {r.detail_id: r.defect for r in answer_pairs.broken_pairs(df, docs).collect()} == {i: d for i, (_, d) in enumerate(cases) if d}
+
+
 def test_document_languages_read_all_documents_without_markup(spark):
     rows = [(f"{t}. {t}.", c) for c, ts in TEXTS.items() for t in ts] * 5
     rows += [(f"Die Wärterin schloss das Tor, und die Schwester fand quarzige und xylophonische Käfer. {TEXTS['de'][2]}.", label) for label in (None, "und")] * 10
