@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -11,6 +12,10 @@ from pyspark.sql import functions as F
 
 #: Largest number of rows that `bounded_broadcast` sends to every executor.
 BROADCAST_ROWS = 200_000
+#: Largest size in bytes, as JSON, of what it sends.
+BROADCAST_BYTES = 64 << 20
+#: Parts a key is split into by `salted_join`.
+SALTS = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +48,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write `df` as a compressed table into the checkpoint folder and go on from there.
+
+    For what is wide and read more than once: columns that a reader doesn't take aren't read. Like checkpoints, the table
+    stays until the folder is emptied.
+    """
+    to = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(to)
+    return df.sparkSession.read.schema(df.schema).parquet(to)
+
+
 def partitions(df: DataFrame) -> int:
     """Number of partitions `df` would be read in, from the plan alone."""
     return df._jdf.queryExecution().toRdd().getNumPartitions()
@@ -63,12 +79,32 @@ def arrow_batches(spark: SparkSession, size: str = "8m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-def bounded_broadcast(small: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """`small` marked for broadcast if it has at most `limit` rows, else unmarked; and which of both."""
-    fits = len(small.limit(limit + 1).select(F.lit(1)).take(limit + 1)) <= limit if limit < 1000 else small.count() <= limit
+def bounded_broadcast(small: DataFrame, limit: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """`small` marked for broadcast if it has at most `limit` rows and `size` bytes, else unmarked; and which of both."""
+    told = small.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).first()
+    fits = told["n"] <= limit and (told["bytes"] or 0) <= size
     return (F.broadcast(small), True) if fits else (small, False)
 
 
+def salted_join(large: DataFrame, small: DataFrame, keys: list[str], by: str, salts: int = SALTS) -> DataFrame:
+    """Inner join in which a key of very many rows of `large` is spread over `salts` tasks by the column `by`; `small` is repeated as often."""
+    many = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return large.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(many, [*keys, "_salt"]).drop("_salt")
+
+
+def one_row(df: DataFrame, key: str) -> DataFrame:
+    """One row for each `key`: the least of those delivered more than once.
+
+    Only keys are shuffled to find what came again, and only what came again is compared as a whole; all other rows, with
+    their texts, stay where they are. Rows without a key can't be told apart and are left out.
+    """
+    keyed = df.where(F.col(key).isNotNull())
+    again, _ = bounded_broadcast(cut(keyed.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)))
+    rest = [c for c in df.columns if c != key]
+    least = keyed.join(again, key, "left_semi").groupBy(key).agg(F.min(F.struct(*rest)).alias("r")).select(key, "r.*")
+    return keyed.join(again, key, "left_anti").unionByName(least)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application, so that Python stages can import it whatever their path."""
     sc = spark.sparkContext
