@@ -43,22 +43,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder and go on from there: computed once, and safe when executors are lost."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write `df` as a compressed table into the checkpoint folder and go on from there.
+    """Write `df` as a compressed table into the checkpoint folder and go on from there: computed once, and safe when executors are lost.
 
-    For what is wide and read more than once: columns that a reader doesn't take aren't read. Like checkpoints, the table
-    stays until the folder is emptied.
+    `DataFrame.checkpoint` runs the last stage twice and writes rows as they are in memory; of a table, each reader takes
+    the columns it needs. Partitions aren't kept, see `cut_in_place`. Like checkpoints, the table stays until the folder is emptied.
     """
     to = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(to)
     return df.sparkSession.read.schema(df.schema).parquet(to)
 
 
+def cut_in_place(df: DataFrame) -> DataFrame:
+    """Like `cut`, by a checkpoint, for where the next step relies on which rows share a partition."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def partitions(df: DataFrame) -> int:
     """Number of partitions `df` would be read in, from the plan alone."""
     return df._jdf.queryExecution().toRdd().getNumPartitions()
