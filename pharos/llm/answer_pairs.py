@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from pharos.llm.language_labels import fit_languages
 from pharos.llm.languages import LanguageModel, label_code, marked_sentences, telling_words
-from pharos.runtime import arrow_batches, bounded_broadcast, cut, spread
+from pharos.runtime import arrow_batches, bounded_broadcast, cut, cut_in_place, spread
 
 #: Languages of the pairs.
 PAIR_CODES = ("en", "de", "fr", "es")
@@ -229,7 +229,7 @@ def _neighbours(first_of: dict[int, str]) -> Callable[[Iterator[pd.DataFrame]],
 
 def shortened(texts: DataFrame) -> DataFrame:
     """(own, in_word, at_word) of distinct texts: whether the next text in order starts with it, cut in or at a word."""
-    parts = cut(texts.repartitionByRange("own").sortWithinPartitions("own").withColumn("part", F.spark_partition_id()))
+    parts = cut_in_place(texts.repartitionByRange("own").sortWithinPartitions("own").withColumn("part", F.spark_partition_id()))
     first_of = {r["part"]: r["first"] for r in parts.groupBy("part").agg(F.min("own").alias("first")).collect()}  # one row per part
     return parts.sortWithinPartitions("part", "own").mapInPandas(_neighbours(first_of), "own string, in_word boolean, at_word boolean")
 

@@ -91,11 +91,15 @@ class LanguageModel:
         if len(self.at) > 200_000:
             self.at.clear()
         flat = [w for ws in texts for w in ws]
-        for w in set(flat).difference(self.at):
-            k = self.at[w] = len(self.at)
-            if k == len(self.rows):
+        new = list(set(flat).difference(self.at))
+        if new:
+            first = len(self.at)
+            self.at.update(zip(new, range(first, first + len(new))))
+            while len(self.rows) < len(self.at):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[k] = self.scores([w])
+            grams = [word_ngrams(w) for w in new]
+            sizes = np.fromiter(map(len, grams), np.int64, len(grams))
+            self.rows[first : len(self.at)] = np.add.reduceat(self.log[:, np.concatenate(grams)].astype(np.float64), np.cumsum(sizes) - sizes, axis=1).T / (len(ORDERS) + 1)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         some = sizes > 0
         out = np.zeros((len(texts), len(self.codes)))
@@ -108,8 +112,11 @@ def bucket_counts(counts: list[Counter]) -> np.ndarray:
     """N-gram counts by language from word counts by language."""
     total = np.zeros((len(counts), BUCKETS), np.float64)
     for row, own in zip(total, counts):
-        for w, n in own.items():
-            np.add.at(row, word_ngrams(w), n)
+        words = list(own)
+        for a in range(0, len(words), 50_000):
+            grams = [word_ngrams(w) for w in words[a : a + 50_000]]
+            n = np.repeat([float(own[w]) for w in words[a : a + 50_000]], [len(g) for g in grams])
+            row += np.bincount(np.concatenate(grams), weights=n, minlength=BUCKETS)
     return total
 
 
@@ -195,6 +202,9 @@ def segments(ll: np.ndarray) -> list[tuple[int, int, int, float]]:
     The run of languages is the most probable one under the text's mixture; confidence is the mean posterior
     probability of the language over its sentences.
     """
+    one = int(ll.sum(axis=0).argmax())
+    if (ll.argmax(axis=1) == one).all():  # no other language can gain anything
+        return [(one, 0, len(ll) - 1, float((1 / np.exp(ll - ll[:, [one]]).sum(axis=1)).mean()))]
     chosen, p = mixture(ll)
     x = ll[:, chosen] + np.log(p + 1e-9)
     everything = np.exp(ll - ll.max(axis=1, keepdims=True))

@@ -1,17 +1,17 @@
 """Lines of scanned pages: layout features, a hidden Markov model of line roles, reassembly into paragraphs.
 
-A line is a header, a page number, a section heading, running text or a break (blank line, figure marker).
-What a line looks like is one of a few symbols; `LineModel` is a hidden Markov model over them whose start,
-transition and emission probabilities begin at the prior below and are refitted on all lines by
-expectation-maximisation. A header shows in that it comes back: the statistics of recurring lines are taken
-over all rows before (see `scan_noise`).
+A line is a header, a page number, a section heading, running text or a break (blank line, figure marker). Each line is
+described by the layout features of `FEATURES`, none of which decides alone; `LineModel` is a hidden Markov model whose
+emissions are products over the features. Its probabilities begin at the prior below and are refitted on all lines by
+expectation-maximisation, most of each staying with the prior whatever the number of lines. The most probable roles of a
+whole text decide. That a line comes back on other pages is one of the features; those statistics are taken over all rows
+before (see `scan_noise`).
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from dataclasses import dataclass, field
 
 import numpy as np
 
@@ -29,87 +29,171 @@ CONFUSED = (
     ("f", "ſ"), ("t", "ſ"), ("s", "ſ"), ("h", "b"), ("b", "h"), ("i", "l"), ("l", "i"), ("m", "rn"), ("rn", "m"), ("n", "ri"), ("d", "cl"), ("cl", "d"), ("u", "ii"), ("w", "vv"), ("li", "h"), ("h", "li"),
 )
 
-_NUMBER = rf"(?:[{DIGITS}]{{1,5}}|(?=[ivxlc])(?:c{{0,3}}(?:xc|xl|l?x{{0,3}})(?:ix|iv|v?i{{0,3}})))"
-_PAGE = re.compile(rf"^[\W_]*(?:(?P<word>[^\W\d_]{{1,10}})(?:\s*\.\s*|\s+))?(?P<n>{_NUMBER})(?:\s*(?:/|(?P<of>[^\W\d_]{{2,4}}))\s*(?P<m>[{DIGITS}]{{1,5}}))?[\W_]*$")
+_NUMBER = rf"(?:[{DIGITS}]+|(?=[ivxlc])(?:c{{0,3}}(?:xc|xl|l?x{{0,3}})(?:ix|iv|v?i{{0,3}})))"
+_PAGE = re.compile(rf"^[\W_]*(?:(?P<word>[^\W\d_]+)(?:\s*\.\s*|\s+))?(?P<n>{_NUMBER})(?:\s*(?:/|(?P<of>[^\W\d_]{{2,4}}))\s*(?P<m>[{DIGITS}]+))?[\W_]*$")
 _MARKER = re.compile(r"^\s*<[^<>\n]*>[^<>\n]*(?:</[^<>\n]*>)?\s*$")
-_EDGE = re.compile(rf"^[\W_]*(?:[{DIGITS}]{{1,5}}(?=\s))?[\W_]*|[\W_]*(?:(?<=\s)[{DIGITS}]{{1,5}})?[\W_]*$")
-_ENDS = re.compile(r"[.!?:;,…]['\"»”)\]]*$")
+_IN_SENTENCE = re.compile(r"\w[.,]\w|\w[.,;:!?]$")
+_DECIMAL = re.compile(r"^[\W_]*\d+(?:[.,]\d+)+[\W_]*$")
+_STOPS = tuple(".!?:;,…")
 
-_FOLD = str.maketrans({"0": "o", "1": "i", "l": "i", "5": "s", "ſ": "t", "f": "t", "6": "b", "8": "b", "h": "b", "9": "g", "@": "a", "2": "z", "c": "e"})
-_MULTI = re.compile("rn|ri|ei|ii|vv")
-_MERGED = {"rn": "m", "ri": "n", "ei": "d", "ii": "u", "vv": "w"}
+#: Characters that are confused, or pairs of them, and the one they are read as here; in this order.
+_FOLD = tuple("0o 1i li 5s ſt ft 6b 8b hb 9g @a 2z ce".split()), (("rn", "m"), ("ri", "n"), ("ei", "d"), ("ii", "u"), ("vv", "w"))
 
 
 def skeleton(word: str) -> str:
     """A form that a word and its misreadings share: characters that are confused are mapped to one."""
-    return _MULTI.sub(lambda m: _MERGED[m[0]], word.lower().translate(_FOLD))
+    word = word.lower()
+    for seen, read in _FOLD[0]:
+        word = word.replace(seen, read)
+    for seen, read in _FOLD[1]:
+        word = word.replace(seen, read)
+    return word
 
 
 _PAGE_SKELETONS = {skeleton(w) for w in PAGE_WORDS}
 _OF_SKELETONS = {skeleton(w) for w in OF_WORDS}
 
 
-def is_page_number(line: str) -> bool:
-    """Whether a line holds a page number and nothing else, in any usual form; decimals and numbers with a full stop don't."""
-    s = line.strip()
-    if not s or len(s) > 40 or re.search(r"\w[.,]\w|\w[.,;:!?]$", s):
-        return False
+def number_form(s: str) -> int:
+    """How a stripped line is a number, by place in the feature `number`: not at all, bare, with marks around it, with a word or a total, or as part of a sentence (decimal, full stop)."""
+    if s.count(" ") > 5:  # a word, a number, a word and a number, with marks set apart, are six at most
+        return 0
     m = _PAGE.match(s)
     if not m or not m["n"]:
-        return False
-    if m["word"] and skeleton(m["word"]) not in _PAGE_SKELETONS:
-        return False
-    return not m["of"] or skeleton(m["of"]) in _OF_SKELETONS
-
-
-def header_key(line: str) -> str | None:
-    """What two prints of one running header share: no page number, decoration, case or misreading. None if it can't be one."""
-    s = line.strip()
-    if not 4 < len(s) <= 90 or _MARKER.match(s) or is_page_number(s):
-        return None
-    s = _EDGE.sub("", s)
-    words = s.split()
-    if line.rstrip()[-1:] in HYPHENS and line.rstrip()[-2:-1].isalpha():
-        return None  # a divided word
-    if not 1 < len(words) <= 12 or _ENDS.search(line.strip()) or not s[:1].isalnum() or s[:1].islower():
-        return None
-    return " ".join(re.sub(r"[\doOlI]+", "9", w) if re.search(r"\d", w) and not re.search(r"[^\W\doOlI_]", w) else skeleton(w) for w in words)
+        return 4 if _DECIMAL.match(s) else 0
+    if (m["word"] and skeleton(m["word"]) not in _PAGE_SKELETONS) or (m["of"] and skeleton(m["of"]) not in _OF_SKELETONS):
+        return 0
+    if _IN_SENTENCE.search(s):
+        return 4
+    return 3 if m["word"] or m["m"] else 1 if s.isalnum() else 2
 
 
-def skip_templates(key: str) -> list[str]:
-    """The key with each of its words left open in turn."""
-    words = key.split(" ")
-    return [" ".join([*words[:i], "*", *words[i + 1 :]]) for i in range(len(words)) if words[i] not in "9·—-|–"]
+_DIGITS = re.compile(r"\d")
+#: Decoration around a line, and what is read for digits.
+_MARKS = " \t\r\f\v\u00a0!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~§°·•†‡«»“”„‘’…–—―\u00ad"
+_READ_DIGITS = "0123456789lIOo|"
+
+
+def _bare(s: str) -> str:
+    """A line without decoration and without a number at either end."""
+    s = s.strip(_MARKS)
+    i = s.find(" ")
+    if i > 0 and not s[:i].strip(_READ_DIGITS):
+        s = s[i:].lstrip(_MARKS)
+    i = s.rfind(" ")
+    if i > 0 and not s[i + 1 :].strip(_READ_DIGITS):
+        s = s[:i].rstrip(_MARKS)
+    return s
+
+
+def header_key(s: str) -> str | None:
+    """What two prints of one running header share: no page number, decoration, case or misreading. None if nothing is left of the line."""
+    s = _bare(s)
+    if _DIGITS.search(s):
+        s = " ".join(["9" if _DIGITS.search(w) and not w.strip(_MARKS).strip(_READ_DIGITS) else w for w in s.split()])
+    return " ".join(skeleton(s).split()) or None
 
 
-@dataclass
-class Line:
-    raw: str
-    symbol: int
-    state: int = BODY
+_CLOSERS = "'\"»”)]"
 
 
-# Symbols: marker, blank, page number, recurring line, title-like line, text that ends early, text that fills its line.
-SYMBOLS = ("marker", "blank", "number", "recurs", "title", "early", "full")
+def ends(s: str) -> bool:
+    """Whether a sentence or a part of one ends with the line."""
+    return s.rstrip(_CLOSERS)[-1:] in _STOPS
 
 
-def lines_of(text: str, headers: frozenset[str] | set[str]) -> list[Line]:
-    """The lines of a text with their symbols. `headers`: keys of the recurring lines of the publication."""
-    raws = text.split("\n")
-    strips = [r.strip() for r in raws]
-    plain = [1 if not s else 0 if _MARKER.match(s) else 2 if is_page_number(s) else 3 if headers and header_key(s) in headers else -1 for s in strips]
-    width = max((len(s) for s, p in zip(strips, plain) if p < 0), default=0)
-    out = []
-    for i, (s, symbol) in enumerate(zip(strips, plain)):
-        if symbol < 0:
-            after = next((x for x, p in zip(strips[i + 1 :], plain[i + 1 :]) if p in (-1, 0)), "")
-            before = next((x for x, p in zip(strips[:i][::-1], plain[:i][::-1]) if p < 0), "")
-            early = not after or after.startswith("<") or len(s) + 3 + len(after.split()[0]) <= width
-            title = early and s[:1].isupper() and after[:1].isupper() and len(s.split()) <= 8 and not re.search(r"[.!?:;,](?:\s|$)", s) and s[-1] not in HYPHENS
-            title = title and (not before or bool(_ENDS.search(before)))
-            symbol = 4 if title else 5 if early else 6
-        out.append(Line(raws[i], symbol))
-    return out
+def skip_templates(key: str) -> list[str]:
+    """The key with each of its words left open in turn; none for a single word."""
+    words = key.split(" ")
+    return [" ".join([*words[:i], "*", *words[i + 1 :]]) for i in range(len(words)) if words[i] not in "9·—-|–"] if len(words) > 1 else []
+
+
+#: Layout features of a line and their values.
+FEATURES = {
+    "kind": ("marker", "blank", "text"),
+    "number": ("none", "bare", "marked", "counted", "in_sentence"),
+    "recurs": ("no", "own", "partly", "made"),  # not, often in its own publication alone, or in a make-up that comes back in several, partly or nearly always with one line in each
+    "form": ("none", "title", "early", "full"),  # how it fills its line
+    "place": ("only", "first", "last", "inside"),
+    "flow": ("none", "broken", "between", "open"),  # whether the text around it goes on across it
+    "begins": ("none", "lower", "upper", "digit", "mark"),
+    "ends": ("stop", "hyphen", "open"),
+    "digits": ("none", "some", "most"),
+}
+_SIZES = tuple(len(v) for v in FEATURES.values())
+_STEPS = tuple(int(np.prod(_SIZES[i + 1 :], dtype=np.int64)) for i in range(len(_SIZES)))
+CODES = int(np.prod(_SIZES))
+_KIND, _NUMBER_AT, _RECURS, _FORM, _PLACE, _FLOW, _BEGINS, _ENDS_AT, _DIGITS_AT = _STEPS
+
+
+def line_features(text: str, recurs: dict[str, int]) -> tuple[list[str], list[int]]:
+    """(stripped lines, feature codes of each). `recurs`: places in the feature `recurs` by header key."""
+    strips = [r.strip() for r in text.split("\n")]
+    n = len(strips)
+    kinds, numbers, back = [2] * n, [0] * n, [0] * n
+    plain: list[int] = []  # lines of text that aren't numbers and don't come back
+    for i, s in enumerate(strips):
+        if not s:
+            kinds[i] = 1
+        elif "<" in s and _MARKER.match(s):
+            kinds[i] = 0
+        else:
+            numbers[i] = form = number_form(s)
+            if form in (0, 4):
+                if recurs and (key := header_key(s)) is not None:
+                    back[i] = recurs.get(key, 0)
+                if not back[i]:
+                    plain.append(i)
+    width = max((len(strips[i]) for i in plain), default=0)
+    shown = [i for i in range(n) if kinds[i] != 1]
+    first, last = (shown[0], shown[-1]) if shown else (-1, -1)
+    # the nearest plain line or marker after each line, the nearest plain one before it
+    after: list[str] = [""] * n
+    nxt = ""
+    is_plain = [False] * n
+    for i in plain:
+        is_plain[i] = True
+    for i in range(n - 1, -1, -1):
+        after[i] = nxt
+        if is_plain[i] or kinds[i] == 0:
+            nxt = strips[i]
+    codes = []
+    before, closed = "", True
+    for i, s in enumerate(strips):
+        if kinds[i] == 1:
+            codes.append(_KIND + 3 * _PLACE + 2 * _ENDS_AT)
+            continue
+        place = 0 if first == last else 1 if i == first else 2 if i == last else 3
+        if kinds[i] == 0:
+            codes.append(place * _PLACE + 2 * _ENDS_AT + 4 * _BEGINS)
+            before = ""
+            continue
+        c, follows = s[0], after[i]
+        begins = 1 if c.islower() else 2 if c.isupper() else 3 if c.isdigit() else 4
+        ended = ends(s)
+        end = 0 if ended else 1 if s[-1] in HYPHENS else 2
+        digits = sum(map(s.count, "0123456789")) if _DIGITS.search(s) else 0
+        flow = 0
+        fresh = not before or closed
+        if before or follows:
+            goes_on = follows[:1].islower() or follows[:1].isdigit()
+            flow = 1 if not fresh and goes_on else 2 if fresh and not goes_on else 3
+        form = 0
+        if numbers[i] in (0, 4):
+            early = not follows or follows[0] == "<" or len(s) + 3 + len(follows.split(None, 1)[0]) <= width
+            form = 2 if early else 3
+            if early and begins == 2 and end == 2 and fresh and (follows[:1].isupper()) and s.count(" ") < 8 and not _INNER.search(s):
+                form = 1
+        codes.append(
+            2 * _KIND + numbers[i] * _NUMBER_AT + back[i] * _RECURS + form * _FORM + place * _PLACE + flow * _FLOW + begins * _BEGINS + end * _ENDS_AT
+            + (0 if not digits else 2 if 2 * digits > len(s) else 1) * _DIGITS_AT
+        )
+        if is_plain[i]:
+            before, closed = s, ended
+    return strips, codes
+
+
+_INNER = re.compile(r"[.!?:;,]\s")
 
 
 def _rows(*rows: tuple[float, ...]) -> np.ndarray:
@@ -117,71 +201,126 @@ def _rows(*rows: tuple[float, ...]) -> np.ndarray:
     return a / a.sum(axis=1, keepdims=True)
 
 
-@dataclass
+#: The prior: rows are roles in the order of `STATES`.
+START = _rows((8, 12, 8, 70, 2))
+MOVE = _rows((1, 2, 3, 90, 4), (8, 1, 3, 84, 4), (1, 1, 1, 96, 1), (3, 6, 0.5, 82, 8.5), (2, 4, 2, 90, 2))
+EMIT = {
+    "kind": _rows((0.1, 0.1, 99.8), (0.1, 0.1, 99.8), (0.1, 0.1, 99.8), (0.1, 0.1, 99.8), (60, 39.9, 0.1)),
+    "number": _rows((97, 0.5, 0.5, 1.5, 0.5), (1, 34, 31, 34, 0.01), (98, 0.5, 0.5, 0.5, 0.5), (98.7, 0.1, 0.1, 0.1, 1), (99, 0.2, 0.2, 0.2, 0.4)),
+    "recurs": _rows((3, 36, 1, 60), (98, 0.5, 0.5, 1), (99, 0.3, 0.4, 0.3), (99, 0.3, 0.4, 0.3), (98.5, 0.5, 0.5, 0.5)),
+    "form": _rows((1, 40, 50, 9), (97, 1, 1, 1), (0.3, 99.6, 0.1, 0.0001), (1, 0.3, 30, 68.7), (97, 1, 1, 1)),
+    "place": _rows((3, 50, 3, 44), (3, 30, 20, 47), (2, 60, 1, 37), (15, 15, 15, 55), (2, 5, 5, 88)),
+    "flow": _rows((3, 45, 29, 23), (3, 45, 29, 23), (2, 2, 90, 6), (8, 40, 17, 35), (90, 4, 3, 3)),
+    "begins": _rows((1, 0.2, 75.8, 15, 8), (1, 10, 20, 45, 24), (1, 2, 90, 5, 2), (1, 55, 38, 4, 2), (40, 2, 2, 2, 54)),
+    "ends": _rows((0.02, 0.02, 99.96), (2, 20, 78), (1, 1, 98), (40, 12, 48), (1, 1, 98)),
+    "digits": _rows((45, 53, 2), (2, 8, 90), (90, 9, 1), (80, 19, 1), (97, 2, 1)),
+}
+#: Share of each refitted probability that stays with the prior.
+KEPT = 0.85
+#: What a role has more seldom than this in the prior it never learns to have.
+RULED_OUT = 1e-3
+
+
 class LineModel:
-    """A hidden Markov model of line roles. The prior says what a role usually looks like; `fit_step` adds counts to it."""
-
-    start: np.ndarray = field(default_factory=lambda: _rows((8, 12, 8, 70, 2))[0])
-    move: np.ndarray = field(
-        default_factory=lambda: _rows((1, 2, 3, 90, 4), (8, 1, 3, 84, 4), (1, 1, 1, 96, 1), (3, 6, 0.5, 82, 8.5), (2, 4, 2, 90, 2))
-    )
-    emit: np.ndarray = field(
-        default_factory=lambda: _rows(
-            (0.01, 0.01, 0.1, 99, 0.1, 0.05, 0.01), (0.01, 0.01, 99, 0.1, 0.01, 0.01, 0.01), (0.01, 0.01, 0.1, 0.1, 97, 2, 0.5),
-            (0.01, 0.01, 0.01, 0.1, 0.3, 30, 69), (60, 39, 0.01, 0.01, 0.01, 0.01, 0.01),
-        )
-    )
-
-    def path(self, symbols: list[int]) -> list[int]:
-        """The most probable roles (Viterbi)."""
-        if not symbols:
-            return []
-        a, b = np.log(self.move), np.log(self.emit)
-        v = np.log(self.start) + b[:, symbols[0]]
-        back = []
-        for s in symbols[1:]:
-            m = v[:, None] + a
-            back.append(m.argmax(axis=0))
-            v = m.max(axis=0) + b[:, s]
-        out = [int(v.argmax())]
-        for p in reversed(back):
-            out.append(int(p[out[-1]]))
-        return out[::-1]
-
-    def expected(self, symbols: list[int]) -> np.ndarray:
-        """Expected counts of a sequence, flat: start, transitions, emissions (forward-backward with scaling)."""
-        n, k = len(symbols), len(STATES)
-        f, g = np.zeros((n, k)), np.ones((n, k))
-        c = np.zeros(n)
-        for t, s in enumerate(symbols):
-            x = (self.start if t == 0 else f[t - 1] @ self.move) * self.emit[:, s]
-            c[t] = x.sum()
-            f[t] = x / c[t]
-        for t in range(n - 2, -1, -1):
-            g[t] = self.move @ (self.emit[:, symbols[t + 1]] * g[t + 1]) / c[t + 1]
-        post = f * g
-        moves = np.zeros((k, k))
-        for t in range(n - 1):
-            moves += f[t][:, None] * self.move * (self.emit[:, symbols[t + 1]] * g[t + 1])[None, :] / c[t + 1]
-        emits = np.zeros((k, len(SYMBOLS)))
-        for t, s in enumerate(symbols):
-            emits[:, s] += post[t]
-        return np.concatenate([post[0], moves.ravel(), emits.ravel()])
-
-    def refitted(self, counts: np.ndarray, weight: float = 1000.0) -> LineModel:
-        """The model from expected counts and `weight` prior observations of each row of the first model."""
-        k, m = len(STATES), len(SYMBOLS)
-        prior = LineModel()
-        start, moves, emits = counts[:k], counts[k : k + k * k].reshape(k, k), counts[k + k * k :].reshape(k, m)
-        return LineModel(_rows(tuple(start + weight * prior.start))[0], _rows(*(moves + weight * prior.move)), _rows(*(emits + weight * prior.emit)))
+    """A hidden Markov model of line roles; all methods take many texts at once, as lists of feature codes."""
+
+    def __init__(self, start: np.ndarray = START, move: np.ndarray = MOVE, emit: dict[str, np.ndarray] = EMIT):
+        self.start, self.move, self.emit = start, move, emit
+        table = np.zeros((1, len(STATES)))
+        for name in FEATURES:  # in the order of the code's digits
+            table = (table[:, None, :] + np.log(emit[name]).T[None, :, :]).reshape(-1, len(STATES))
+        self.log_emit = table
+
+    def _batches(self, codes: list[np.ndarray], most: int = 512):
+        """(places, codes padded with -1) of sequences of like lengths."""
+        order = sorted((i for i in range(len(codes)) if len(codes[i])), key=lambda i: len(codes[i]))
+        for a in range(0, len(order), most):
+            at = order[a : a + most]
+            grid = np.full((len(at), len(codes[at[-1]])), -1, np.int64)
+            for row, i in enumerate(at):
+                grid[row, : len(codes[i])] = codes[i]
+            yield at, grid
+
+    def paths(self, codes: list[np.ndarray]) -> list[list[int]]:
+        """The most probable roles of each text (Viterbi)."""
+        out: list[list[int]] = [[] for _ in codes]
+        a, start = np.log(self.move), np.log(self.start[0])
+        for at, grid in self._batches(codes):
+            n, length = grid.shape
+            b = self.log_emit[grid]
+            v = start + b[:, 0]
+            back = np.zeros((length, n, len(STATES)), np.int8)
+            for t in range(1, length):
+                m = v[:, :, None] + a[None]
+                back[t] = m.argmax(axis=1)
+                on = grid[:, t] >= 0
+                back[t][~on] = np.arange(len(STATES))
+                v = np.where(on[:, None], m.max(axis=1) + b[:, t], v)
+            state = v.argmax(axis=1)
+            roles = np.zeros((n, length), np.int8)
+            for t in range(length - 1, -1, -1):
+                roles[:, t] = state
+                state = back[t][np.arange(n), state]
+            for row, i in enumerate(at):
+                out[i] = roles[row, : len(codes[i])].tolist()
+        return out
+
+    def expected(self, codes: list[np.ndarray]) -> np.ndarray:
+        """Expected counts of all texts, flat: start, transitions, emissions by feature (forward-backward with scaling)."""
+        k = len(STATES)
+        start, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((CODES, k))
+        for _, grid in self._batches(codes):
+            n, length = grid.shape
+            on = grid >= 0
+            e = np.where(on[:, :, None], np.exp(self.log_emit[grid]), 1.0)
+            f, c = np.zeros((length, n, k)), np.ones((length, n))
+            for t in range(length):
+                x = (self.start[0] if t == 0 else f[t - 1] @ self.move) * e[:, t]
+                c[t] = x.sum(axis=1)
+                f[t] = x / c[t][:, None]
+            g = np.ones((n, k))
+            for t in range(length - 1, -1, -1):
+                post = f[t] * g
+                seen = on[:, t]
+                np.add.at(emits, grid[seen, t], post[seen])
+                if t == 0:
+                    start += post.sum(axis=0)
+                    break
+                ahead = e[:, t] * g / c[t][:, None]
+                moves += self.move * (f[t - 1][seen].T @ ahead[seen])
+                g = np.where(seen[:, None], ahead @ self.move.T, 1.0)
+        shaped = emits.reshape(*_SIZES, k)
+        by_feature = [shaped.sum(axis=tuple(j for j in range(len(_SIZES)) if j != i)).T.ravel() for i in range(len(_SIZES))]
+        return np.concatenate([start, moves.ravel(), *by_feature])
+
+    @staticmethod
+    def refitted(counts: np.ndarray) -> LineModel:
+        """The model from expected counts, `KEPT` of each probability from the prior."""
+        k = len(STATES)
+
+        def mixed(x: np.ndarray, prior: np.ndarray) -> np.ndarray:
+            x = np.where(prior < RULED_OUT, 0.0, x)
+            total = x.sum(axis=1, keepdims=True)
+            out = np.where(total > 0, KEPT * prior + (1 - KEPT) * x / np.where(total > 0, total, 1), prior)
+            return np.where(prior < RULED_OUT, prior, out) / np.where(prior < RULED_OUT, prior, out).sum(axis=1, keepdims=True)
+
+        start, moves, at, emit = mixed(counts[None, :k], START), mixed(counts[k : k + k * k].reshape(k, k), MOVE), k + k * k, {}
+        for name, size in zip(FEATURES, _SIZES):
+            emit[name] = mixed(counts[at : at + k * size].reshape(k, size), EMIT[name])
+            at += k * size
+        return LineModel(start, moves, emit)
+
+
+#: Numbers that `LineModel.expected` returns.
+PARAMETERS = len(STATES) * (1 + len(STATES) + sum(_SIZES))
 
 
 #: Joins the halves of a divided word until it is known whether its hyphen is its own.
 JOIN = "\x01"
-_LAST = re.compile(rf"(\w[\w'’@{HYPHENS}]*)[{HYPHENS}]\s*$")
+_LAST = re.compile(rf"[\w'’@][{HYPHENS}]$")
 
 
-def reassembled(lines: list[Line]) -> tuple[str, list[tuple[str, str]], list[str]]:
+def reassembled(strips: list[str], roles: list[int]) -> tuple[str, list[tuple[str, str]], list[str]]:
     """(running text, (noise, line) of headers and page numbers, section headings).
 
     Running text has a blank line where a break or heading stood, one space between lines, and `JOIN` with the
@@ -191,16 +330,15 @@ def reassembled(lines: list[Line]) -> tuple[str, list[tuple[str, str]], list[str
     noise: list[tuple[str, str]] = []
     headings: list[str] = []
     divided = ""
-    for line in lines:
-        s = line.raw.strip()
-        if line.state in (HEADER, PAGE):
-            noise.append((STATES[line.state], s))
+    for s, role in zip(strips, roles):
+        if role in (HEADER, PAGE) and s:
+            noise.append((STATES[role], s))
             continue
-        if line.state == BREAK:
-            if not divided and line.symbol == 1:
+        if not s or role == BREAK:
+            if not divided and not s:
                 parts.append("\n\n")
             continue
-        if line.state == HEADING:
+        if role == HEADING:
             headings.append(s)
             parts += ["\n\n", s, "\n\n"] if parts else [s, "\n\n"]
             continue
@@ -213,13 +351,14 @@ def reassembled(lines: list[Line]) -> tuple[str, list[tuple[str, str]], list[str
             divided = ""
         elif parts and not parts[-1].endswith("\n\n"):
             parts.append(" ")
-        if (m := _LAST.search(s)) and s[-1:] in HYPHENS and not s[-2:-1].isspace():
+        if s[-1] in HYPHENS and _LAST.search(s):
             divided = s[-1]
             s = s[:-1]
         parts.append(s)
     if divided:
         parts.append(divided)
-    return unicodedata.normalize("NFC", "".join(parts).strip()), noise, headings
+    text = "".join(parts).strip()
+    return text if text.isascii() else unicodedata.normalize("NFC", text), noise, headings
 
 
 def originals(read: str, most: int = 2) -> list[tuple[str, int]]:

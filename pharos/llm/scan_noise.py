@@ -2,9 +2,9 @@
 
 Order of work, all statistics over all rows:
 
-1. lines that may be headers are counted by publication; a line is a header if it comes back in its
-   publication, or if lines of its make-up do so elsewhere;
-2. line symbols of all texts refit the hidden Markov model of line roles; equal sequences are counted first;
+1. lines are counted by publication; that a line comes back in its publication, or lines of its make-up do so
+   elsewhere, is a feature of it;
+2. the layout features of all lines of all texts refit the hidden Markov model of line roles;
 3. the model labels the lines, and the texts are put together from those that are text;
 4. words of the running text are counted, with their case and label; a word that a much commoner one turns into
    by confusions of characters is its misreading; a divided word keeps its hyphen if it is met so;
@@ -13,128 +13,188 @@ Order of work, all statistics over all rows:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pharos.llm.languages import label_code
-from pharos.llm.scan_lines import HYPHENS, JOIN, STATES, SYMBOLS, LineModel, confusions, header_key, lines_of, reassembled, shapes, skip_templates
-from pharos.runtime import arrow_batches, bounded_broadcast, cut, spread
+from pharos.llm.scan_lines import _MARKER, HYPHENS, JOIN, PARAMETERS, LineModel, confusions, header_key, line_features, number_form, reassembled, shapes, skip_templates
+from pharos.runtime import BROADCAST_ROWS, arrow_batches, bounded_broadcast, cut, one_row, salted_join, spread
 
 FIELDS = ("prev", "current", "next", "context")
 #: A misreading by one and by two confusions is at most this share of the right word's number; words of letters alone may be words of their own.
 MOST_SHARE, MOST_SHARE_TWICE = 0.1, 0.01
-#: Share of prints of a make-up that agree within publications, from which it is that of headers.
-AGREE = 0.5
+#: Shares of prints of a make-up that agree within publications, from which it comes back partly and nearly always.
+AGREE, AGREE_NEARLY = 0.5, 0.85
 #: Share of the publications with a make-up in which it comes back, from which it is that of headers.
 COMES_BACK = 0.3
 #: Share of a publication's images with a line, from which it is a header though no other publication has one like it.
 OWN_SHARE = 0.05
 EM_STEPS = 3
-#: What words are made of here; `@` and long s are met in misread ones.
-WORD = rf"[\p{{L}}\p{{N}}@ſ]+(?:(?:['’{HYPHENS}]|{JOIN}[{HYPHENS}])[\p{{L}}\p{{N}}@ſ]+)*"
+#: Distinct lines or words that a task holds before it passes their counts on.
+HELD = 300_000
+#: What words are made of here; `@` is met in misread ones.
+_TOKEN = re.compile(rf"[\w@]+(?:(?:['’{HYPHENS}]|{JOIN}[{HYPHENS}])[\w@]+)*")
+#: A word with a capital that doesn't begin a sentence.
+_INSIDE = re.compile(r"(?<![\sA-ZÀ-ÖØ-Þ.!?…:;()\[\]\"'«»“”„–—-]) ([^\W\d_a-zß-öø-ÿ][\w@]*)")
+_IN_MARKS = re.compile(r"<[^<>]*>[^<>]*</[^<>]*>")
 
 
-def once(images: DataFrame) -> DataFrame:
-    """Each image once, with its texts in long form: (image_id, file_key, label, field_name, text); null and blank texts are left out."""
-    told = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in FIELDS])
-    rows = images.where(F.col("image_id").isNotNull()).groupBy("image_id").agg(F.min(F.struct(*FIELDS, "file_key", "lang")).alias("r")).select("image_id", "r.*")
-    flat = rows.select("image_id", F.coalesce("file_key", F.lit("")).alias("file_key"), F.col("lang").alias("label"), F.explode(told).alias("t"))
-    return flat.select("image_id", "file_key", "label", "t.*").where(F.trim("text") != "")
+def _recurring_keys(text: str) -> set[str]:
+    return {k for line in set(text.split("\n")) if (s := line.strip()) and not ("<" in s and _MARKER.match(s)) and number_form(s) in (0, 4) and (k := header_key(s))}
 
 
-def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _line_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts the images of each publication that each line is in, per task."""
+    held: Counter = Counter()
+
+    def out() -> pd.DataFrame:
+        return pd.DataFrame([(f, k, n) for (f, k), n in held.items()], columns=["file_key", "key", "n"])
+
     for pdf in batches:
-        if pdf.empty:
-            continue
-        rows = {(f, i, k) for f, i, t in zip(pdf["file_key"], pdf["image_id"], pdf["text"]) for line in t.split("\n")[:-1] if (k := header_key(line))}
-        yield pd.DataFrame([(*r, skip_templates(r[2])) for r in rows], columns=["file_key", "image_id", "key", "templates"])
+        for f, *texts in zip(pdf["file_key"], *[pdf[c] for c in FIELDS]):
+            keys: set[str] = set()
+            for t in texts:
+                if t:
+                    keys |= _recurring_keys(t)
+            held.update((f, k) for k in keys)
+        if len(held) > HELD:
+            yield out()
+            held.clear()
+    if held:
+        yield out()
+
+
+def _hash(s: str) -> int:
+    return xxhash.xxh3_64_intdigest(s) - (1 << 63)
+
+
+def _templates(known) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        have = known.value if known is not None else None
+        for pdf in batches:
+            rows = [(h, f, k, n) for f, k, n in zip(pdf["file_key"], pdf["key"], pdf["n"]) for t in skip_templates(k) for h in (_hash(t),) if have is None or h in have]
+            yield pd.DataFrame(rows, columns=["template", "file_key", "key", "n"])
+
+    return f
 
 
-def recurring_lines(texts: DataFrame) -> DataFrame:
-    """(file_key, headers): keys of the running headers of each publication.
+def recurring_lines(images: DataFrame) -> DataFrame:
+    """(file_key, key, recurs): lines that come back in their publication, by place in the feature `recurs`.
 
     For every make-up (a line with one word left open) and publication, the prints are counted and those of its
-    commonest line. A make-up is one of headers if, over all publications with several prints, prints agree;
-    section headings have one make-up but change within a publication.
+    commonest line. A make-up is one that comes back if, over all publications with several prints, prints agree;
+    section headings have one make-up but change within a publication. Only make-ups of lines that come back anywhere can
+    be such, so only those are looked for among the others.
     """
-    found = spread(texts).mapInPandas(_candidates, "file_key string, image_id bigint, key string, templates array<string>")
+    spark = images.sparkSession
+    found = images.select("file_key", *FIELDS).mapInPandas(_line_counts, "file_key string, key string, n bigint")
     # the images of one publication and line are counted, not gathered: one row for each, however many images
-    lines = cut(found.groupBy("file_key", "key", "templates").agg(F.count_distinct("image_id").alias("n")))
-    by = lines.select("file_key", "key", "n", F.explode("templates").alias("template"))
-    prints = by.groupBy("template", "file_key").agg(F.sum("n").alias("n"), F.max("n").alias("top"))
+    lines = cut(found.groupBy("file_key", "key").agg(F.sum("n").alias("n")))
+    schema = "template bigint, file_key string, key string, n bigint"
+    twice = lines.where("n > 1").mapInPandas(_templates(None), schema).select("template").distinct()
+    small = twice.limit(BROADCAST_ROWS + 1).collect()  # hashes, of a checked number
+    if len(small) <= BROADCAST_ROWS:
+        by = lines.mapInPandas(_templates(spark.sparkContext.broadcast({r["template"] for r in small})), schema)
+    else:
+        by = lines.mapInPandas(_templates(None), schema).join(twice, "template", "left_semi")
+    by = cut(by)
+    prints = by.groupBy("template", "file_key").agg(F.sum("n").alias("prints"), F.max("n").alias("top"))
     made = prints.groupBy("template").agg(
-        F.sum(F.when(F.col("n") > 1, F.col("top") - 1)).alias("same"), F.sum(F.when(F.col("n") > 1, F.col("n") - 1)).alias("pairs"),
-        F.sum((F.col("n") > 1).cast("int")).alias("files"), F.count("*").alias("all_files"),
+        F.sum(F.when(F.col("prints") > 1, F.col("top") - 1)).alias("same"), F.sum(F.when(F.col("prints") > 1, F.col("prints") - 1)).alias("pairs"),
+        F.sum((F.col("prints") > 1).cast("int")).alias("files"), F.count("*").alias("all_files"),
     )
     # a make-up that comes back in few of its publications may be a sentence that does so by chance
-    headers = made.where((F.col("files") >= 2) & (F.col("same") >= AGREE * F.col("pairs")) & (F.col("files") >= COMES_BACK * F.col("all_files"))).select("template")
-    # the word left open tells the publications apart; one of several lines of a make-up in a publication must lead.
-    # A make-up of one publication alone is one of headers if it is on a fair part of that publication's pages.
-    size = texts.groupBy("file_key").agg(F.count_distinct("image_id").alias("images"))
-    alone = made.where((F.col("all_files") == 1) & (F.col("same") >= AGREE * F.col("pairs"))).select("template")
-    alone = by.join(alone, "template", "left_semi").join(size, "file_key").where((F.col("n") >= 3) & (F.col("n") >= OWN_SHARE * F.col("images"))).select("file_key", "key").distinct()
-    share = by.join(headers, "template", "left_semi").join(prints.select("template", "file_key", F.col("n").alias("prints")), ["template", "file_key"])
-    own = share.where(F.col("n") >= AGREE * F.col("prints")).select("file_key", "key").unionByName(alone)
-    return own.groupBy("file_key").agg(F.collect_set("key").alias("headers"))
-
-
-def _symbols(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    headers = made.where((F.col("files") >= 2) & (F.col("same") >= AGREE * F.col("pairs")) & (F.col("files") >= COMES_BACK * F.col("all_files")))
+    headers = headers.select("template", F.when(F.col("same") >= AGREE_NEARLY * F.col("pairs"), 3).otherwise(2).alias("recurs"))
+    # the word left open tells the publications apart; one of several lines of a make-up in a publication must lead
+    good = prints.join(headers, "template").select("template", "file_key", "prints", "recurs")
+    share = by.join(good, ["template", "file_key"]).where(F.col("n") >= AGREE * F.col("prints"))
+    # and a line on a fair part of its publication's pages comes back, whatever others are like
+    size = images.groupBy("file_key").agg(F.count("*").alias("images"))
+    alone = lines.where("n >= 3").join(size, "file_key").where(F.col("n") >= OWN_SHARE * F.col("images"))
+    both = share.select("file_key", "key", "recurs").unionByName(alone.select("file_key", "key", F.lit(1).alias("recurs")))
+    return both.groupBy("file_key", "key").agg(F.max("recurs").alias("recurs"))
+
+
+def _all_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        if pdf.empty:
-            continue
-        yield pd.DataFrame({"line_symbols": ["".join(str(x.symbol) for x in lines_of(t, set(h) if h is not None else set())) for t, h in zip(pdf["text"], pdf["headers"])]})
+        rows = [(i, f, k) for i, f, *texts in zip(pdf["image_id"], pdf["file_key"], *[pdf[c] for c in FIELDS]) for k in set().union(*[_recurring_keys(t) for t in texts if t])]
+        yield pd.DataFrame(rows, columns=["image_id", "file_key", "key"])
+
+
+def _features(known) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        back = known.value if known is not None else None
+        none: dict[str, int] = {}
+        for pdf in batches:
+            own = pdf["recurs"] if back is None else [back.get(f, none) for f in pdf["file_key"]]
+            rows = []
+            for i, label, keys, *texts in zip(pdf["image_id"], pdf["label"], own, *[pdf[c] for c in FIELDS]):
+                if back is None:
+                    keys = {r["key"]: r["recurs"] for r in keys} if keys is not None else none
+                rows += [(i, label, name, t, line_features(t, keys)[1]) for name, t in zip(FIELDS, texts) if t and t.strip()]
+            yield pd.DataFrame(rows, columns=["image_id", "label", "field_name", "text", "codes"])
+
+    return f
+
+
+def described(images: DataFrame) -> DataFrame:
+    """(image_id, label, field_name, text, codes): each text with the feature codes of its lines, written once."""
+    spark = images.sparkSession
+    source = images.select("image_id", F.coalesce("file_key", F.lit("")).alias("file_key"), F.col("lang").alias("label"), *FIELDS)
+    source = spread(one_row(source, "image_id"))
+    back = cut(recurring_lines(source))
+    told, fits = bounded_broadcast(back)
+    if fits:
+        own: dict[str, dict[str, int]] = {}
+        for r in back.toLocalIterator():  # of checked size
+            own.setdefault(r["file_key"], {})[r["key"]] = r["recurs"]
+        rows, known = source.withColumn("recurs", F.lit(None)), spark.sparkContext.broadcast(own)
+    else:  # the lines of each image meet those that come back; a publication or line of very many images is salted
+        met = salted_join(source.mapInPandas(_all_keys, "image_id bigint, file_key string, key string"), back, ["file_key", "key"], "image_id")
+        met = met.groupBy("image_id").agg(F.collect_list(F.struct("key", "recurs")).alias("recurs"))
+        rows, known = source.join(met, "image_id", "left"), None
+    schema = "image_id bigint, label string, field_name string, text string, codes array<int>"
+    return cut(rows.mapInPandas(_features(known), schema))
 
 
 def _counts(model: LineModel):
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = 0.0
+        total = np.zeros(PARAMETERS)
         for pdf in batches:
-            if pdf.empty:
-                continue
-            for s, n in zip(pdf["line_symbols"], pdf["n"]):
-                total = total + n * model.expected([int(c) for c in s])
-        if not np.isscalar(total):
-            yield pd.DataFrame({"at": np.arange(len(total)), "x": total})
+            if len(pdf):
+                total += model.expected(list(pdf["codes"]))
+        yield pd.DataFrame({"at": np.arange(PARAMETERS), "x": total})
 
     return f
 
 
 def fit_lines(texts: DataFrame) -> LineModel:
-    """The line model of all texts. Equal symbol sequences are counted before; what comes to the driver is one number per parameter."""
-    sequences = cut(spread(texts).mapInPandas(_symbols, "line_symbols string").groupBy("line_symbols").agg(F.count("*").alias("n")))
+    """The line model of all texts; what comes to the driver is one number per parameter."""
     model = LineModel()
-    size = len(STATES) * (1 + len(STATES) + len(SYMBOLS))
     for _ in range(EM_STEPS):
-        rows = sequences.mapInPandas(_counts(model), "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
-        counts = np.zeros(size)
+        rows = texts.select("codes").mapInPandas(_counts(model), "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
+        counts = np.zeros(PARAMETERS)
         for r in rows:
             counts[r["at"]] = r["x"]
-        model = model.refitted(counts)
+        model = LineModel.refitted(counts)
     return model
 
 
 def _label(model: LineModel):
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        paths: dict[tuple[int, ...], list[int]] = {}
         for pdf in batches:
             if pdf.empty:
                 continue
-            rows = []
-            for t, h in zip(pdf["text"], pdf["headers"]):
-                lines = lines_of(t, set(h) if h is not None else set())
-                seq = tuple(x.symbol for x in lines)
-                if seq not in paths:
-                    if len(paths) > 50_000:
-                        paths.clear()
-                    paths[seq] = model.path(list(seq))
-                for x, state in zip(lines, paths[seq]):
-                    x.state = state
-                rows.append(reassembled(lines))
+            rows = [reassembled([r.strip() for r in t.split("\n")], p) for t, p in zip(pdf["text"], model.paths(list(pdf["codes"])))]
             yield pd.DataFrame(
                 {
                     "image_id": pdf["image_id"], "label": pdf["label"], "field_name": pdf["field_name"], "body": [r[0] for r in rows],
@@ -146,17 +206,37 @@ def _label(model: LineModel):
 
 
 def labelled(images: DataFrame) -> DataFrame:
-    """(image_id, label, field_name, body, lines, headings) of each text, written to a checkpoint."""
+    """(image_id, label, field_name, body, lines, headings) of each text, written once."""
     arrow_batches(images.sparkSession)
-    texts = cut(once(images))
-    headers, _ = bounded_broadcast(recurring_lines(texts))
-    texts = texts.join(headers, "file_key", "left")
+    texts = described(images)
     schema = "image_id bigint, label string, field_name string, body string, lines array<struct<noise string, item string>>, headings array<string>"
-    return cut(spread(texts).mapInPandas(_label(fit_lines(texts)), schema))
+    return cut(texts.select("image_id", "label", "field_name", "text", "codes").mapInPandas(_label(fit_lines(texts)), schema))
+
+
+def _plain(body: str) -> str:
+    """A text without markers; an underscore is no letter."""
+    return (_IN_MARKS.sub(" ", body) if "<" in body else body).replace("_", " ")
 
 
-def words_in(body: Column) -> Column:
-    return F.regexp_extract_all(F.regexp_replace(body, r"<[^<>]*>[^<>]*</[^<>]*>", " "), F.lit(f"({WORD})"), F.lit(1))
+def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts words as written by language, per task: undivided ones, those inside sentences, and divided ones as they stand."""
+
+    def out() -> pd.DataFrame:
+        return pd.DataFrame([(c, w, k, n) for (c, k), own in counts.items() for w, n in own.items()], columns=["code", "w", "kind", "n"])
+
+    counts: dict[tuple[str, str], Counter] = {}
+    for pdf in batches:
+        for code, body in zip(pdf["code"], pdf["body"]):
+            clean = _plain(body)
+            if (code, "word") not in counts:
+                counts[code, "word"], counts[code, "inside"] = Counter(), Counter()
+            counts[code, "word"].update(_TOKEN.findall(clean))
+            counts[code, "inside"].update(_INSIDE.findall(clean))
+        if sum(map(len, counts.values())) > HELD:
+            yield out()
+            counts.clear()
+    if counts:
+        yield out()
 
 
 def _shapes(c: str) -> Column:
@@ -170,13 +250,17 @@ def _confusions(right: str, read: str) -> Column:
     return F.pandas_udf(f, "int")(right, read)
 
 
-def lexicon(body: DataFrame, code: Column) -> DataFrame:
+def word_table(body: DataFrame, code: Column) -> DataFrame:
+    """(code, w, kind, n): words as written, by language and kind (`word`; `inside` for those with a capital inside sentences), written once."""
+    return cut(body.select(code.alias("code"), "body").mapInPandas(_word_counts, "code string, w string, kind string, n bigint").groupBy("code", "w", "kind").agg(F.sum("n").alias("n")))
+
+
+def lexicon(body: DataFrame, told: DataFrame, code: Column) -> DataFrame:
     """(word, n, is_name) of the undivided words. A name is written with a capital inside sentences and spread over languages as texts are."""
-    text = F.regexp_replace("body", r"<[^<>]*>[^<>]*</[^<>]*>", " ")
-    tokens = body.select(code.alias("code"), F.explode(words_in(F.col("body"))).alias("w")).where(~F.col("w").contains(JOIN))
-    plain = tokens.groupBy(F.lower("w").alias("word"), "code").agg(F.count("*").alias("n"), F.sum(F.col("w").rlike(r"^\p{Lu}").cast("int")).alias("capital"))
-    inside = body.select(F.explode(F.regexp_extract_all(text, F.lit(r"[\p{Ll}\p{N},] (\p{Lu}[\p{L}\p{N}@ſ]*)"), F.lit(1))).alias("w"))
-    inside = inside.groupBy(F.lower("w").alias("word")).agg(F.count("*").alias("inside"))
+    plain = told.where((F.col("kind") == "word") & ~F.col("w").contains(JOIN)).groupBy(F.lower("w").alias("word"), "code").agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.col("w").rlike(r"^\p{Lu}"), F.col("n")).otherwise(0)).alias("capital")
+    )
+    inside = told.where((F.col("kind") == "inside") & F.col("w").rlike(r"^\p{Lu}")).groupBy(F.lower("w").alias("word")).agg(F.sum("n").alias("inside"))
     known = F.col("code") != ""
     by = plain.groupBy("word").agg(
         F.sum("n").alias("n"), F.sum("capital").alias("capital"), F.max(F.when(known, F.struct("n", "code"))).alias("top"), F.sum(F.when(known, F.col("n"))).alias("labelled")
@@ -207,9 +291,8 @@ def misreadings(words: DataFrame) -> DataFrame:
     return best.select("read", "b.item")
 
 
-def divided_words(body: DataFrame, words: DataFrame, misread: DataFrame) -> DataFrame:
-    """(token, item): divided words as they stand and as a whole. The hyphen stays if the word is met more often with it."""
-    tokens = body.select(F.explode(words_in(F.col("body"))).alias("w")).where(F.col("w").contains(JOIN)).select(F.lower("w").alias("token")).distinct()
+def divided_words(tokens: DataFrame, words: DataFrame, misread: DataFrame) -> DataFrame:
+    """(token, item) of the divided words `tokens` as they stand and as a whole. The hyphen stays if the word is met more often with it."""
     plain = lambda sep: F.regexp_replace("token", f"{JOIN}[{HYPHENS}]", sep)
     forms = tokens.select("token", F.explode(F.array(F.struct(plain("").alias("form"), F.lit(False).alias("own")), F.struct(plain("-").alias("form"), F.lit(True).alias("own")))).alias("f")).select("token", "f.*")
     known = words.select(F.col("word").alias("form"), F.col("n").alias("met"))
@@ -222,20 +305,41 @@ def divided_words(body: DataFrame, words: DataFrame, misread: DataFrame) -> Data
 
 def repairs(body: DataFrame, code: Column) -> DataFrame:
     """(token, noise, item): what to put in place of a token, for all misread and divided words."""
-    words = cut(lexicon(body, code))
+    told = word_table(body, code)
+    words = cut(lexicon(body, told, code))
+    tokens = told.where((F.col("kind") == "word") & F.col("w").contains(JOIN)).select(F.lower("w").alias("token")).distinct()
     # divided words take part in the search with their joined form, so that a misread one is known as such
-    joined = body.select(F.explode(words_in(F.col("body"))).alias("w")).where(F.col("w").contains(JOIN))
-    joined = joined.select(F.regexp_replace(F.lower("w"), f"{JOIN}[{HYPHENS}]", "").alias("word")).distinct().join(words, "word", "left_anti").select("word", F.lit(1).cast("bigint").alias("n"), F.lit(False).alias("is_name"))
+    joined = tokens.select(F.regexp_replace("token", f"{JOIN}[{HYPHENS}]", "").alias("word")).distinct().join(words, "word", "left_anti").select("word", F.lit(1).cast("bigint").alias("n"), F.lit(False).alias("is_name"))
     misread = cut(misreadings(words.unionByName(joined)))
-    divided = divided_words(body, words, misread)
+    divided = divided_words(tokens, words, misread)
     return misread.select(F.col("read").alias("token"), F.lit("misread").alias("noise"), "item").unionByName(divided.select("token", F.lit("hyphenation").alias("noise"), "item"))
 
 
+def _tokens(body: str) -> set[str]:
+    return set(_TOKEN.findall(_plain(body).lower()))
+
+
+def _found(fixes) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = fixes.value if fixes is not None else None
+        for pdf in batches:
+            rows = []
+            for i, name, body in zip(pdf["image_id"], pdf["field_name"], pdf["body"]):
+                own = _tokens(body)
+                rows += [(i, name, t, *(known[t] if known else ("", ""))) for t in (own if known is None else own & known.keys())]
+            yield pd.DataFrame(rows, columns=["image_id", "field_name", "token", "noise", "item"])
+
+    return f
+
+
 def found_words(body: DataFrame, fixes: DataFrame) -> DataFrame:
-    """(image_id, field_name, token, noise, item) of each text."""
-    tokens = body.select("image_id", "field_name", F.explode(F.array_distinct(F.transform(words_in(F.col("body")), lambda w: F.lower(w)))).alias("token"))
-    small, _ = bounded_broadcast(fixes)
-    return tokens.join(small, "token")
+    """(image_id, field_name, token, noise, item) of each text. Repairs of a checked size go to the tasks; more meet the words in a salted join."""
+    schema = "image_id bigint, field_name string, token string, noise string, item string"
+    source = body.select("image_id", "field_name", "body")
+    if bounded_broadcast(fixes)[1]:
+        told = body.sparkSession.sparkContext.broadcast({r["token"]: (r["noise"], r["item"]) for r in fixes.toLocalIterator()})
+        return source.mapInPandas(_found(told), schema)
+    return salted_join(source.mapInPandas(_found(None), schema).drop("noise", "item"), fixes, ["token"], "image_id")
 
 
 def _code() -> Column:
@@ -255,9 +359,6 @@ def scan_findings(images: DataFrame) -> DataFrame:
 
 
 def _repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import regex
-
-    word = regex.compile(WORD)
     for pdf in batches:
         if pdf.empty:
             continue
@@ -271,7 +372,7 @@ def _repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     return m[0]
                 return item.upper() if m[0].isupper() and len(m[0]) > 1 else item[:1].upper() + item[1:] if m[0][:1].isupper() else item
 
-            out.append(word.sub(put, body).replace(JOIN, "") if own else body.replace(JOIN, ""))
+            out.append(_TOKEN.sub(put, body).replace(JOIN, "") if own else body.replace(JOIN, ""))
         yield pd.DataFrame({"image_id": pdf["image_id"], "label": pdf["label"], "field_name": pdf["field_name"], "text": out})
 
 

@@ -40,9 +40,9 @@ def pages(spark):
 
 def test_page_numbers():
     for s in ("12", "- 12 -", "[ 7 ]", "— l2O —", "Page 3 of 14", "Seite l4 von 20", "p. 9", "xiv", "12/40", "Pagc 4"):
-        assert scan_lines.is_page_number(s), s
+        assert scan_lines.number_form(s) in (1, 2, 3), s
     for s in ("1978.", "3.12", "page 4 of the handbook shows", "", "mix up", "Chapter 7", "12 apples", "on page 4."):
-        assert not scan_lines.is_page_number(s), s
+        assert scan_lines.number_form(s) in (0, 4), s
 
 
 def test_scan_findings(spark, pages):
@@ -60,12 +60,46 @@ def test_repaired_text(spark, pages):
     assert rows[1000, "context"] == "Page 0 tells that the keeper closed the gate before the storm and the nurse took the pulse. It ended in 1978."
 
 
-def test_line_model_learns():
-    m = scan_lines.LineModel()
-    counts = sum(m.expected(s) for s in ([3, 6, 6, 5], [2, 3, 6, 5], [6, 0, 6, 5]))
-    r = m.refitted(counts)
-    assert np.allclose(r.move.sum(axis=1), 1) and np.allclose(r.emit.sum(axis=1), 1)
-    assert [scan_lines.STATES[k] for k in r.path([2, 3, 6, 1, 5])] == ["page_number", "header", "body", "break", "body"] and r.path([]) == []
+def codes(text, recurs=None):
+    return np.array(scan_lines.line_features(text, recurs or {})[1])
+
+
+LINES = [
+    "The keeper closed the gate before the long storm came up\nGazette\nand they repaired the bridge with help from the town.\n- 12 -",
+    "Gazette\nThe keeper closed the gate before the long storm came up\nand they repaired the bridge with help.",
+    "Contents of the year\nThe keeper closed the gate before the long storm came up\nin\n1978.",
+    "x",
+    "<IMAGE A>a.png</IMAGE A>\n\nThey repaired the bridge.",
+]
+ROLES = [["body", "header", "body", "page_number"], ["header", "body", "body"], ["heading", "body", "body", "body"], ["body"], ["break", "break", "body"]]
+
+
+def test_line_model_labels_and_learns():
+    m, seqs = scan_lines.LineModel(), [codes(t, {"gazette": 3, scan_lines.header_key("Gazette"): 3}) for t in LINES]
+    assert [[scan_lines.STATES[k] for k in p] for p in m.paths([*seqs, np.array([], int)])] == [*ROLES, []]
+    r = m.refitted(m.expected(seqs))
+    assert np.allclose(r.move.sum(axis=1), 1) and all(np.allclose(e.sum(axis=1), 1) for e in r.emit.values())
+    # many texts at once give what each gives by itself
+    assert np.allclose(m.expected(seqs), sum(m.expected([s]) for s in seqs)) and m.expected(seqs)[:5].sum() == pytest.approx(len(seqs))
+
+
+def test_line_model_against_brute_force():
+    """Viterbi and expected counts of a short text against all sequences of roles."""
+    import itertools
+
+    m, s = scan_lines.LineModel(), codes("Gazette\nThe keeper closed the gate\n7", {scan_lines.header_key("Gazette"): 1})
+    k = range(len(scan_lines.STATES))
+    score = {q: np.log(m.start[0][q[0]]) + sum(np.log(m.move[a, b]) for a, b in zip(q, q[1:])) + sum(m.log_emit[c, r] for c, r in zip(s, q)) for q in itertools.product(k, repeat=3)}
+    assert m.paths([s])[0] == list(max(score, key=score.get))
+    total = sum(np.exp(x) for x in score.values())
+    want = [sum(np.exp(x) for q, x in score.items() if q[0] == a) / total for a in k]
+    assert np.allclose(m.expected([s])[:5], want)
+
+
+def test_header_keys():
+    same = ["Handbook of the Library   12", "12 | HANDBOOK OF THE LIBRARY", "* H@ndbo0k of thc Library *", "  Handbook of the Library"]
+    assert len({scan_lines.header_key(s) for s in same}) == 1 and scan_lines.header_key("***") is None
+    assert scan_lines.header_key("Gazette") == scan_lines.header_key("gazette 9") and scan_lines.skip_templates("gazette") == []
 
 
 def test_language_segments(spark):
