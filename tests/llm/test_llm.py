@@ -68,7 +68,7 @@ LINES = [
     "The keeper closed the gate before the long storm came up\nGazette\nand they repaired the bridge with help from the town.\n- 12 -",
     "Gazette\nThe keeper closed the gate before the long storm came up\nand they repaired the bridge with help.",
     "Contents of the year\nThe keeper closed the gate before the long storm came up\nin\n1978.",
-    "x",
+    "They ended.",
     "<IMAGE A>a.png</IMAGE A>\n\nThey repaired the bridge.",
 ]
 ROLES = [["body", "header", "body", "page_number"], ["header", "body", "body"], ["heading", "body", "body", "body"], ["body"], ["break", "break", "body"]]
