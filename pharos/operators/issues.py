@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pharos.operators.audit_checks import CHECKS
 from pharos.operators.dimensions import criteria, severity_level
+from pharos.runtime import cut
 from pharos.sources.html_tree import parsed
 
 DONE = ("remediated", "auto_remediated")
@@ -55,11 +56,12 @@ def placed(rows: DataFrame, detailed: bool = True) -> DataFrame:
 def numbered(issues: DataFrame, order: str = "file_path") -> DataFrame:
     """`issue_seq` and `id` in the order of files, checks and findings, without a sort of all rows in one task.
 
-    Issues are counted by file, the counts summed in file order, and rows numbered within their file.
+    Issues are written once, counted by file, the counts summed in file order, and rows numbered within their file.
     """
+    issues = cut(issues)
     counts = issues.groupBy(order, "doc_id").agg(F.count("*").alias("n"))
     # counts are one row per document; they are summed by part of a range, then within parts
-    parts = counts.repartitionByRange(order, "doc_id").withColumn("part", F.spark_partition_id())
+    parts = cut(counts.repartitionByRange(order, "doc_id").withColumn("part", F.spark_partition_id()))  # written, so that all readers agree on the parts
     sums = parts.groupBy("part").agg(F.sum("n").alias("n"))
     ahead = sums.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("ahead"))  # one row per part
     inside = F.sum("n").over(W.partitionBy("part").orderBy(order, "doc_id")) - F.col("n")

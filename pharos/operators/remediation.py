@@ -15,13 +15,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pharos.operators.audit_checks import GENERIC_LINKS
 from pharos.operators.issues import passes
 from pharos.runtime import arrow_batches
 from pharos.sources.html_tree import OPAQUE, VOID, HTMLParser
 
 # What stands in where nothing better is known.
 DEFAULT_TITLE, DEFAULT_CAPTION, DEFAULT_LANGUAGE, SKIP_TEXT = "Document", "Table data", "en", "Skip to main content"
+NO_DESCRIPTION = "Image description unavailable"
+REPAIRED_LINKS = ("click here", "here", "read more", "more", "learn more", "details", "link")
+LINK_TEXTS = {"click here": "View details", "read more": "Read more about this topic", "learn more": "Learn more about this topic"}
+OTHER_LINK_TEXT, URL_TEXT = "View related information", "Visit website"
+DECORATIVE_ROLES, DECORATIVE_CLASSES, DECORATIVE_SIZE = ("presentation", "none"), ("decorative", "icon", "bullet", "separator", "spacer", "bg"), 16
+DECORATIVE_PARENTS = ("banner", "header", "logo", "icon")
+GENERIC_HEADING = r"^(heading|title|section|\s*\d+\s*)$"
 #: Headings a document without any gets at most.
 MOST_HEADINGS = 5
 
@@ -111,8 +117,8 @@ def build(html: str | None) -> Node:
     return b.root
 
 
-def domain_of(href: str) -> str:
-    m = re.match(r"^(?:https?:)?//(?:www\.)?([^/?#:]+)", href)
+def domain_of(url: str) -> str:
+    m = re.search(r"https?://(?:www\.)?([^/]+)", url)
     return m[1] if m else ""
 
 
@@ -126,13 +132,24 @@ def heading_before(root: Node, node: Node) -> str:
     return last
 
 
-def alt_for(root: Node, img: Node) -> str:
-    """The text around an image, else the heading before it, in a plain sentence."""
+def alt_for(root: Node, img: Node, kind: str) -> str:
+    """A generic alternative text filled with the text around the image, else with the heading before it."""
     around = img.up.text() if img.up is not None else ""
-    if around and len(around) < 200:
-        return f"Image related to: {around}"
-    heading = heading_before(root, img)
-    return f"Image in section: {heading}" if heading else "Image without description"
+    about = around if len(around) < 200 and around else heading_before(root, img)
+    diagram, photo = any(w in kind for w in ("diagram", "chart", "graph")), any(w in kind for w in ("photo", "picture"))
+    if about:
+        return f"{'Diagram showing' if diagram else 'Photo of' if photo else 'Image of'} {about}"
+    return f"{'Diagram' if diagram else 'Photo' if photo else 'Image'} related to this content"
+
+
+def is_decorative(img: Node) -> bool:
+    """By role, by class, as both sides are small, or by the class of a block around it."""
+    if img.attrs.get("role") in DECORATIVE_ROLES or any(w in img.attrs.get("class", "").lower() for w in DECORATIVE_CLASSES):
+        return True
+    sides = [img.attrs.get(k, "").strip() for k in ("width", "height")]
+    if all(re.fullmatch(r"[+-]?\d+", s) and int(s) <= DECORATIVE_SIZE for s in sides):
+        return True
+    return img.up is not None and img.up.name == "div" and any(w in img.up.attrs.get("class", "").lower() for w in DECORATIVE_PARENTS)
 
 
 def scope_for(table: Node, th: Node) -> str:
@@ -165,31 +182,63 @@ def _body(root: Node) -> Node:
 
 
 def fix_alt(root: Node, n: Node) -> str | None:
-    if "decorative" in n.attrs.get("class", "").lower() or n.attrs.get("role") == "presentation":
-        n.attrs |= {"alt": "", "role": "presentation"}
-        return "marked as decorative"
-    n.attrs["alt"] = alt_for(root, n)
+    """Without a model, a missing or empty text is told to be unavailable, a generic one filled in; a long one needs a model."""
+    alt = n.attrs.get("alt")
+    if alt is None:
+        n.attrs["alt"] = NO_DESCRIPTION
+    elif not alt.strip():
+        if is_decorative(n):
+            n.attrs |= {"alt": "", "role": "presentation"}
+            return "marked as decorative"
+        n.attrs["alt"] = NO_DESCRIPTION
+    else:
+        n.attrs["alt"] = alt_for(root, n, alt.strip().lower())
     return "alternative text written"
 
 
-def fix_link(root: Node, n: Node) -> str | None:
+def fix_long_alt(root: Node, n: Node) -> str | None:
+    return None
+
+
+def fix_empty_link(root: Node, n: Node) -> str | None:
+    href = n.attrs.get("href", "")
+    n.set_text(f"Link to {(domain_of(href) if href.startswith('http') else '') or href}")
+    return "link text written"
+
+
+def fix_generic_link(root: Node, n: Node) -> str | None:
     href, text = n.attrs.get("href", ""), n.text()
-    where = domain_of(href)
-    if not text:
-        n.set_text(f"Link to {where or href}")
-    elif text.lower() in GENERIC_LINKS:
-        around = (n.up.text() if n.up is not None else "").replace(text, "").strip()[:30]
-        n.set_text(f"Visit {where}" if where else f"{text}: {around}" if around else f"{text}: details of this topic")
+    if text.lower() not in REPAIRED_LINKS:
+        return None
+    if href.startswith("http") and (where := domain_of(href)):
+        n.set_text(f"Visit {where} website")
+        return "link text written"
+    around = n.up.text().replace(text, "").strip() if n.up is not None and n.up.name not in ("body", "") else ""
+    if around:
+        n.set_text(f"More about {around[:30].strip()}{'...' if len(around) > 30 else ''}")
     else:
-        n.set_text(f"Visit {where or domain_of('//' + text) or text}")
+        n.set_text(LINK_TEXTS.get(text.lower(), OTHER_LINK_TEXT))
+    return "link text written"
+
+
+def fix_url_link(root: Node, n: Node) -> str | None:
+    text = n.text()
+    if not text.startswith(("http://", "https://", "www.")):
+        return None
+    where = domain_of(text)
+    n.set_text(f"Visit {where}" if where else URL_TEXT)
     return "link text written"
 
 
 def fix_new_window(root: Node, n: Node) -> str | None:
+    text = n.text()
+    if "new window" in text.lower() or "new tab" in text.lower():
+        return None
     hint = Node("span", {"class": "sr-only"})
     hint.set_text(" (opens in new window)")
     n.add(hint)
-    n.attrs.setdefault("title", "Opens in new window")
+    if not n.attrs.get("title"):
+        n.attrs["title"] = f"{text} (opens in new window)"
     return "warning added"
 
 
@@ -290,14 +339,26 @@ def fix_skipped(root: Node, n: Node) -> str | None:
 
 
 def fix_heading_text(root: Node, n: Node) -> str | None:
-    after, seen = "", False
-    for x in root.walk():
-        seen |= x is n
-        if seen and x.name == "p" and x.text():
-            after = x.text()[:100]
-            break
-    words = after.split()
-    n.set_text(" ".join(words[:5]) + ("..." if len(words) > 5 else "") if words else "Section")
+    """The beginning of the next paragraph, else of the other text of the section, else a name by level and place."""
+    if n.text() and not re.match(GENERIC_HEADING, n.text(), re.I):
+        return None
+    level, order = int(n.name[1]), list(root.walk())
+    rest = order[next(i for i, x in enumerate(order) if x is n) + 1 :]
+    about = next((x.text() for x in rest if x.name == "p"), "")[:100]
+    row = n.up.kids
+    at = next(i for i, k in enumerate(row) if k is n)
+    if not about:
+        end = next((x for x in rest if re.fullmatch("h[1-6]", x.name) and int(x.name[1]) <= level), None)
+        texts = []
+        for k in row[at + 1 :]:
+            if k is end:
+                break
+            if isinstance(k, Node) and k.text():
+                texts.append(k.text())
+        about = " ".join(texts)[:100]
+    words = about.split()
+    before = sum(1 for k in row[:at] if isinstance(k, Node) and k.name == n.name)
+    n.set_text((" ".join(words[:5]) + "..." if len(words) > 5 else about) if about else "Document Title" if level == 1 else f"Section {before + 1}")
     return "heading written"
 
 
@@ -453,7 +514,7 @@ def fix_text_label(root: Node, n: Node) -> str | None:
 
 #: What repairs each type of issue.
 RULES: dict[str, Rule] = {
-    "missing-alt-text": fix_alt, "empty-alt-text": fix_alt, "generic-alt-text": fix_alt, "long-alt-text": fix_alt, "empty-link-text": fix_link, "generic-link-text": fix_link, "url-as-link-text": fix_link,
+    "missing-alt-text": fix_alt, "empty-alt-text": fix_alt, "generic-alt-text": fix_alt, "long-alt-text": fix_long_alt, "empty-link-text": fix_empty_link, "generic-link-text": fix_generic_link, "url-as-link-text": fix_url_link,
     "new-window-link-no-warning": fix_new_window, "table-missing-headers": fix_table_heads, "table-missing-scope": fix_scopes, "table-irregular-headers": fix_scopes, "table-missing-caption": fix_caption,
     "table-missing-thead": fix_thead, "table-missing-tbody": fix_tbody, "table-missing-headers-id": fix_header_ids, "no-h1": fix_no_h1, "no-headings": fix_no_headings, "skipped-heading-level": fix_skipped,
     "empty-heading": fix_heading_text, "generic-heading": fix_heading_text, "missing-main-landmark": _landmark("main", "main", _make_main), "missing-navigation-landmark": _landmark("nav", "navigation", _make_nav),

@@ -20,10 +20,10 @@ def audit_summary(issues: DataFrame) -> DataFrame:
 
 
 def by_page(issues: DataFrame) -> DataFrame:
-    """Counts by page with the issues of the page in order; issues without a page number are a group of their own."""
+    """Counts by document and page with the issues of the page in order; issues without a page number are a group of their own in each document."""
     page = F.col("location.page_number").alias("page_number")
     listed = F.transform(F.sort_array(F.collect_list(F.struct("issue_seq", "id", "type"))), lambda x: x.id)
-    return issues.groupBy(page).agg(F.count("*").alias("total"), *_counts("remediation_status", STATUSES), listed.alias("issues"))
+    return issues.groupBy("doc_id", page).agg(F.count("*").alias("total"), *_counts("remediation_status", STATUSES), listed.alias("issues"))
 
 
 def by_status(issues: DataFrame) -> DataFrame:
@@ -63,10 +63,14 @@ def remediation_totals(details: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def merged_totals(files: DataFrame) -> DataFrame:
-    """Totals over files: sums, and the union of the sets of failed types."""
-    union = F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.filter(F.split("failed_types", ","), lambda x: x != ""))))), ",")
-    return files.agg(*[F.sum(c).alias(c) for c in ("processed", "remediated", "failed", "skipped")], union.alias("failed_types"))
+def merged_totals(files: DataFrame, *keys: str) -> DataFrame:
+    """Totals over files: sums, and the union of the sets of failed types. Types are told apart before they are gathered, so that the list has one entry for each type."""
+    sums = files.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("processed", "remediated", "failed", "skipped")])
+    types = files.select(*keys, F.explode(F.split("failed_types", ",")).alias("t")).where("t <> ''").distinct()
+    union = types.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list("t")), ",").alias("failed_types"))
+    if not keys:
+        return merged_totals(files.withColumn("_all", F.lit(1)), "_all").drop("_all")
+    return sums.join(union, list(keys), "left").fillna("", ["failed_types"])
 
 
 def clamped(summary: DataFrame) -> DataFrame:

@@ -269,8 +269,11 @@ ORACLE |= {
     "images_after_repair": "SELECT CASE WHEN p_size % 6 IN (2, 5) THEN 'compliant-decorative-image' ELSE 'compliant-alt-text' END AS type, 'compliant' AS remediation_status, count(*) AS n FROM part GROUP BY ALL",
     "figures_after_repair": "SELECT 'compliant-figure-structure' AS type, 'compliant' AS remediation_status, count(*) AS n FROM part",
     "headings_after_repair": "SELECT 'compliant-heading-content' AS type, 'compliant' AS remediation_status, count(*) AS n FROM part WHERE p_size % 8 <> 0",
+    "forms_after_repair": "SELECT '' AS type, '' AS remediation_status, CAST(0 AS BIGINT) AS n FROM customer WHERE false",
     "landmarks_after_repair": "SELECT 'compliant-' || k AS type, 'compliant' AS remediation_status, count(*) AS n FROM supplier CROSS JOIN (VALUES ('main-landmark'), ('skip-link'), ('navigation-landmark'), ('header-landmark'), ('footer-landmark')) AS t(k) GROUP BY ALL",
-    "remediation_outcomes": f"WITH {_LINKS} SELECT type, CASE WHEN type = 'duplicate-link-text-different-url' THEN 'skipped' ELSE 'remediated' END AS status, CAST(sum(n) AS BIGINT) AS n FROM (SELECT * FROM link_rows UNION ALL SELECT c_custkey, type, severity, status, n FROM customer JOIN windows ON shape = c_custkey % 9) WHERE status = '{_BAD}' GROUP BY ALL",
+    "remediation_outcomes": f"""WITH {_LINKS}, todo AS (
+  SELECT type, n, 0 AS again FROM link_rows WHERE status = '{_BAD}' UNION ALL SELECT type, n, unnest(range(n)) FROM customer JOIN windows ON shape = c_custkey % 9 WHERE status = '{_BAD}')
+SELECT type, CASE WHEN type = 'duplicate-link-text-different-url' THEN 'skipped' WHEN again > 0 THEN 'failed' ELSE 'remediated' END AS status, CAST(sum(CASE WHEN type LIKE 'new-window%' THEN 1 ELSE n END) AS BIGINT) AS n FROM todo GROUP BY ALL""",
     "scope_inference": "SELECT 'col' AS scope, CAST(sum(CASE o_orderkey % 7 WHEN 5 THEN 0 WHEN 3 THEN 1 WHEN 6 THEN 3 ELSE 2 END) AS BIGINT) AS n FROM orders",
 }
 
@@ -293,15 +296,15 @@ QUERIES |= {
 ORACLE |= {
     "alternative_headings": "SELECT 'improper-heading-structure' AS type, 'major' AS severity, CAST(sum(CASE WHEN p_size % 8 IN (2, 4, 5, 6) THEN 1 ELSE 0 END) AS BIGINT) AS n FROM part",
     "alternative_images": """
-WITH k AS (SELECT CASE p_size % 6 WHEN 0 THEN 'missing-alt-text' WHEN 1 THEN 'empty-alt-text' WHEN 3 THEN 'generic-alt-text' END AS type FROM part
+WITH k AS (SELECT CASE p_size % 6 WHEN 0 THEN 'missing-alt-text' WHEN 1 THEN 'empty-alt-text' ELSE 'alt-text-present' END AS type FROM part
   UNION ALL SELECT 'missing-main-landmark' FROM part UNION ALL SELECT 'missing-skip-link' FROM part)
-SELECT type, CASE WHEN type = 'missing-alt-text' THEN 'critical' ELSE 'major' END AS severity, count(*) AS n FROM k WHERE type IS NOT NULL GROUP BY ALL""",
+SELECT type, CASE type WHEN 'missing-alt-text' THEN 'critical' WHEN 'alt-text-present' THEN 'info' ELSE 'major' END AS severity, count(*) AS n FROM k GROUP BY ALL""",
     "alternative_links": "SELECT CASE c_custkey % 9 WHEN 0 THEN 'empty-link' ELSE 'generic-link-text' END AS type, CASE c_custkey % 9 WHEN 0 THEN 'critical' ELSE 'major' END AS severity, count(*) AS n FROM customer WHERE c_custkey % 9 IN (0, 2) GROUP BY ALL",
     "alternative_tables": """
 WITH a(shape, type, severity, n) AS (VALUES (0, 'missing-table-headers', 'critical', 1), (0, 'missing-table-caption', 'minor', 1), (1, 'missing-header-scope', 'major', 2), (1, 'missing-table-caption', 'minor', 1), (3, 'missing-table-caption', 'minor', 1),
   (4, 'missing-table-headers', 'critical', 1), (4, 'missing-table-caption', 'minor', 1), (5, 'missing-table-headers', 'critical', 1), (5, 'missing-table-caption', 'minor', 1), (6, 'missing-header-scope', 'major', 1), (6, 'missing-table-headers', 'critical', 1), (6, 'missing-table-caption', 'minor', 2))
 SELECT type, severity, CAST(sum(n) AS BIGINT) AS n FROM orders JOIN a ON shape = o_orderkey % 7 GROUP BY ALL""",
     "alternative_forms": """
-WITH a(shape, type, severity) AS (VALUES (1, 'missing-form-label', 'critical'), (3, 'missing-form-label', 'critical'), (4, 'missing-form-label', 'critical'), (4, 'missing-aria-required', 'minor'), (6, 'missing-aria-required', 'minor'))
+WITH a(shape, type, severity) AS (VALUES (1, 'missing-form-label', 'critical'), (4, 'missing-form-label', 'critical'), (4, 'missing-aria-required', 'minor'), (6, 'missing-aria-required', 'minor'))
 SELECT type, severity, count(*) AS n FROM customer JOIN a ON shape = c_nationkey % 7 GROUP BY ALL""",
 }

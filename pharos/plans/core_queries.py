@@ -3,24 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from pharos.operators import nested_json, term_counts
+from pharos.operators import nested_json
 from pharos.runtime import table
 
 
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values and words of issue types and severities that are too rare or too common to be useful."""
-    counted = term_counts.issue_term_frequencies(table(spark, sf_dir, "audit_issue"))
-    return counted.where(F.col("mark").isNotNull()).select("field_name", "unit", "term", "mark")
-
-
-def p1_term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All terms with their number of issues and of audit runs."""
-    counted = term_counts.issue_term_frequencies(table(spark, sf_dir, "audit_issue"))
-    return counted.select("field_name", "unit", "term", "occurrences", "records", F.coalesce("mark", F.lit("")).alias("mark"))
-
-
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each location of each issue of each report, with the page it is on."""
     return nested_json.issue_locations(table(spark, sf_dir, "audit_report"))
@@ -42,25 +28,7 @@ def p2_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested_json.report_tables(table(spark, sf_dir, "audit_report"))["locations"]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_term_frequencies, p2_found, p2_reports, p2_pages, p2_issues, p2_locations)}
-
-# RE2's \s has ASCII only, so white space is written out; \p{Z} holds all Unicode space separators.
-_BLANK = r"[\x09-\x0d\x1c-\x1f\x85\p{Z}]"
-_JOINT = r"[\x09-\x0d\x1c-\x1f\x85\p{Z}_\p{Pd}\x{2212}\x{00ad}\x{2043}]"
-_TERMS = f"""
-WITH once AS (SELECT issue_key, min(run_id) AS run_id, min(type) AS type, min(severity) AS severity FROM audit_issue GROUP BY issue_key),
-vals AS (
-  SELECT issue_key, run_id, 'type' AS field_name, nullif(regexp_replace(lower(regexp_replace(type, '^{_BLANK}+|{_BLANK}+$', '', 'g')), '{_JOINT}', '-', 'g'), '') AS v FROM once
-  UNION ALL
-  SELECT issue_key, run_id, 'severity', nullif(regexp_replace(lower(regexp_replace(severity, '^{_BLANK}+|{_BLANK}+$', '', 'g')), '{_JOINT}', '-', 'g'), '') FROM once),
-terms AS (
-  SELECT run_id, field_name, 'value' AS unit, v AS term FROM vals WHERE v IS NOT NULL
-  UNION ALL
-  SELECT run_id, field_name, 'word', w FROM (SELECT run_id, field_name, unnest(string_split(v, '-')) AS w FROM vals WHERE field_name = 'type' AND v IS NOT NULL) WHERE w <> ''),
-counted AS (SELECT field_name, unit, term, count(*) AS occurrences, count(DISTINCT run_id) AS records FROM terms GROUP BY ALL),
-marked AS (
-  SELECT *, CASE WHEN records < 3 THEN 'too_rare' WHEN records > 0.5 * (SELECT count(DISTINCT run_id) FROM audit_issue) THEN 'too_common' ELSE '' END AS mark FROM counted)
-"""
+QUERIES = {f.__name__: f for f in (p2_found, p2_reports, p2_pages, p2_issues, p2_locations)}
 
 # An independent reading of the bodies by DuckDB's JSON functions. A cut body is no valid JSON.
 _REPORTS = r"""
@@ -93,7 +61,5 @@ UNION ALL SELECT report_id, issue_id, page_no, 0 FROM listed WHERE len(ls) = 0
 """
 
 ORACLE = {
-    "p1_found": _TERMS + "SELECT field_name, unit, term, mark FROM marked WHERE mark <> ''",
-    "p1_term_frequencies": _TERMS + "SELECT field_name, unit, term, occurrences, records, mark FROM marked",
     "p2_found": _REPORTS + _LOCATIONS,
 }
