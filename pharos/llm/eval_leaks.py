@@ -1,12 +1,14 @@
 """Evaluation texts leaking into training text.
 
-The test items are the index, the training documents the queries. The index is inverted, with postings in blocks of
-items and the largest BM25 contribution of each block; a passage is looked up with block-max WAND, which skips every
-block whose bounds can't reach the threshold. All items above the threshold are then aligned word by word with the
-document, and count as leaked if a run of at least `RUN` of their words stands there with at most one word in ten
-changed, added or missing.
+The test items are the index, the training documents the queries. The index is inverted. Its terms are pairs of adjacent
+words, which tell far more than words and of which a leaked run keeps most; each term's postings are in the order of items, cut into blocks with the largest BM25 contribution of each. Contributions are divided by the least score
+that a leaked run of the item may have, so that one threshold, 1, holds for all items. A passage is looked up with
+block-max WAND: cursors on the postings of its terms, a pivot from the terms' maxima, and jumps over blocks whose maxima
+can't reach the threshold. All items above it are then aligned word by word with the document, and count as leaked if a run
+of at least `RUN` of their words stands there with at most one word in ten changed, added or missing.
 
-Every passage of every document is a query, none is capped. The items must be few enough to be sent to all executors
+Every passage of every document is a query, none is capped; a passage with fewer adjacent pairs of item words than any
+leaked run keeps can't hold one of any item, and isn't looked up. The items must be few enough to be sent to all executors
 (`MOST_WORDS`, checked); more items are handled in slices of that size, one after the other.
 """
 
@@ -15,7 +17,11 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import accumulate
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -29,14 +35,14 @@ RUN, PER_EDIT = 20, 10
 #: Words of a passage and step between passages. The longest run that needn't hold a shorter one has 30 words and 3 edits,
 #: so at most 33 words of a document, and lies in one passage wherever it begins.
 PASSAGE, STEP = 72, 36
-#: Items a block of postings covers.
-BLOCK = 16
+#: Postings of a term in a block.
+BLOCK = 32
 #: Share of the BM25 score of an item's weakest run of `RUN` words, edits taken off, from which an item is aligned; below 1 for rounding only.
 THRESHOLD = 0.999
 #: Adjacent pairs of item words that any leaked run keeps (each edit takes two), in so many words of a document.
 PAIRS, PAIRS_IN = RUN - 1 - 2 * (RUN // PER_EDIT), 45
 #: Item words that one slice of the index holds.
-MOST_WORDS = 2_000_000
+MOST_WORDS = 500_000
 
 _TAG = re.compile(r"<[^<>]*>")
 _WORD = re.compile(r"[^\W_]+")
@@ -44,7 +50,22 @@ _WORD = re.compile(r"[^\W_]+")
 
 def words(text: str) -> list[str]:
     """Words of a text without markup, entities, case and punctuation."""
-    return _WORD.findall(html.unescape(html.unescape(_TAG.sub(" ", text))).lower().replace("­", ""))
+    if "<" in text:
+        text = _TAG.sub(" ", text)
+    if "&" in text:
+        text = html.unescape(html.unescape(text))
+    return _WORD.findall(text.lower().replace("\u00ad", ""))
+
+
+class Postings:
+    """A term's items, contributions and blocks, with the largest contribution of each block and of all."""
+
+    __slots__ = ("block_max", "items", "scores", "top")
+
+    def __init__(self, items: list[int], scores: list[float]):
+        self.items, self.scores = items, scores
+        self.block_max = [max(scores[i : i + BLOCK]) for i in range(0, len(scores), BLOCK)]
+        self.top = max(self.block_max)
 
 
 class LeakIndex:
@@ -55,66 +76,95 @@ class LeakIndex:
         self.items = [w for _, w in items]
         n = max(1, len(items))
         mean = sum(map(len, self.items)) / n or 1.0
-        found: dict[str, dict[int, int]] = {}
-        for k, ws in enumerate(self.items):
-            if len(ws) < RUN:
-                continue  # too short to leak
-            for w in ws:
-                found.setdefault(w, {})
-                found[w][k] = found[w].get(k, 0) + 1
-        self.idf = {w: math.log(1 + (n - len(p) + 0.5) / (len(p) + 0.5)) for w, p in found.items()}
-        self.postings: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        self.block_max: dict[str, np.ndarray] = {}
-        blocks = -(-n // BLOCK)
-        for w, p in found.items():
-            at = np.array(sorted(p), np.int32)
-            tf = np.array([p[k] for k in at.tolist()], float)
-            norm = k1 * (1 - b + b * np.array([len(self.items[k]) for k in at.tolist()]) / mean)
-            score = (self.idf[w] * tf * (k1 + 1) / (tf + norm)).astype(np.float32)
-            self.postings[w] = (at, score)
-            self.block_max[w] = np.zeros(blocks, np.float32)
-            np.maximum.at(self.block_max[w], at // BLOCK, score)
-        self.least = np.array([self._threshold(k) for k in range(len(items))], np.float32)
-        self.block_least = np.array([self.least[i * BLOCK : (i + 1) * BLOCK].min(initial=np.inf) for i in range(blocks)], np.float32)
-
-    def _threshold(self, k: int) -> float:
-        """The least score a leaked run of the item may have, times `THRESHOLD`."""
-        ws = self.items[k]
-        if len(ws) < RUN:
-            return math.inf
-        own = {w: float(self.postings[w][1][np.searchsorted(self.postings[w][0], k)]) for w in set(ws)}
+        terms = [list(zip(ws, ws[1:])) if len(ws) >= RUN else [] for ws in self.items]  # a shorter item can't leak
+        counts = [Counter(ts) for ts in terms]
+        df = Counter(w for own in counts for w in own)
+        idf = {w: math.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
+        held: dict[tuple[str, str], tuple[list[int], list[float]]] = {}
+        for k, (ts, own) in enumerate(zip(terms, counts)):
+            norm = k1 * (1 - b + b * len(ts) / mean)
+            score = {w: idf[w] * tf * (k1 + 1) / (tf + norm) for w, tf in own.items()}
+            least = self._threshold(ts, score)
+            for w, x in score.items():
+                at, scores = held.setdefault(w, ([], []))
+                at.append(k)
+                scores.append(x / least)
+        self.postings = {w: Postings(at, scores) for w, (at, scores) in held.items()}
+        self.pairs = [set(own) for own in counts]
+
+    @staticmethod
+    def _threshold(ts: list[tuple[str, str]], own: dict[tuple[str, str], float]) -> float:
+        """The least score a leaked run of an item may have, times `THRESHOLD`: the best pairs may be the ones that edits took.
+
+        A run that holds no shorter one has `RUN` words, or half as many more with one edit more.
+        """
         least = math.inf
-        for i in range(max(1, len(ws) - RUN + 1)):
-            run = sorted({w: own[w] for w in ws[i : i + RUN]}.values())
-            least = min(least, sum(run[: len(run) - RUN // PER_EDIT]))  # the best words may be the changed ones
-        return THRESHOLD * least
-
-    def above(self, passage: list[str]) -> list[int]:
-        """Items whose score over the distinct words of a passage reaches their threshold (block-max WAND)."""
-        terms = [w for w in dict.fromkeys(passage) if w in self.postings]
-        if len(terms) < 2:
-            return []
-        bound = np.sum([self.block_max[w] for w in terms], axis=0)
+        for run in (RUN, RUN + PER_EDIT):
+            lost = 2 * (run // PER_EDIT)
+            for i in range(len(ts) - run + 2):
+                kept = sorted({t: own[t] for t in ts[i : i + run - 1]}.values())
+                least = min(least, sum(kept[: len(kept) - lost]))
+        return max(THRESHOLD * least, 1e-12)
+
+    def above(self, passage: list[tuple[str, str]]) -> list[int]:
+        """Items whose score over the distinct pairs of a passage reaches their threshold (block-max WAND)."""
+        cursors = [[p.items[0], 0, p] for w in dict.fromkeys(passage) if (p := self.postings.get(w)) is not None]
         out: list[int] = []
-        for block in np.flatnonzero(bound >= self.block_least):
-            first = int(block) * BLOCK
-            score = np.zeros(BLOCK, np.float32)
-            left = float(bound[block])
-            # terms in order of their bound; a block is left as soon as what is to come can't reach the threshold
-            for w in sorted(terms, key=lambda t: -self.block_max[t][block]):
-                top = float(self.block_max[w][block])
-                if top == 0:
-                    break
-                at, s = self.postings[w]
-                i, j = np.searchsorted(at, (first, first + BLOCK))
-                score[at[i:j] - first] += s[i:j]
-                left -= top
-                if score.max() + left < self.block_least[block]:
+        while cursors:
+            cursors.sort(key=_ITEM)
+            bound, pivot = 0.0, -1
+            for i, c in enumerate(cursors):
+                bound += c[2].top
+                if bound >= 1:
+                    pivot = i
                     break
-            least = self.least[first : first + BLOCK]
-            out += (first + np.flatnonzero(score[: len(least)] >= least)).tolist()
+            if pivot < 0:
+                break  # all the terms that are left can't reach the threshold
+            item = cursors[pivot][0]
+            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
+                pivot += 1
+            bound, end = 0.0, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else len(self.items)
+            for c in cursors[: pivot + 1]:
+                p, at = c[2], bisect_left(c[2].items, item, c[1])
+                if at < len(p.items):
+                    block = at // BLOCK
+                    bound += p.block_max[block]
+                    last = min((block + 1) * BLOCK, len(p.items)) - 1
+                    end = min(end, p.items[last] + 1)
+            if bound >= 1:
+                score = 0.0
+                for c in cursors[: pivot + 1]:
+                    if c[0] < item:
+                        c[1] = bisect_left(c[2].items, item, c[1])
+                    if c[1] < len(c[2].items) and c[2].items[c[1]] == item:
+                        score += c[2].scores[c[1]]
+                        c[1] += 1
+                if score >= 1:
+                    out.append(item)
+            else:  # nothing before the nearest end of these blocks, or the next term's item, can reach it
+                end = max(end, item + 1)
+                for c in cursors[: pivot + 1]:
+                    c[1] = bisect_left(c[2].items, end, c[1])
+            for c in cursors[: pivot + 1]:
+                c[0] = c[2].items[c[1]] if c[1] < len(c[2].items) else -1
+            cursors = [c for c in cursors if c[0] >= 0]
         return out
 
+    def candidates(self, doc: list[str]) -> list[int]:
+        """Items that may leak into a document: of each passage that can hold a leaked run of any item, those above their threshold."""
+        pairs = list(zip(doc, doc[1:]))
+        total = [0, *accumulate(map(self.postings.__contains__, pairs))]
+        if total[-1] < PAIRS:
+            return []
+        may: set[int] = set()
+        for at in range(0, max(1, len(doc) - STEP), STEP):
+            if total[min(at + PASSAGE - 1, len(pairs))] - total[at] >= PAIRS:
+                may.update(self.above(pairs[at : at + PASSAGE - 1]))
+        return sorted(may)
+
+
+_ITEM = itemgetter(0)
+
 
 def leaked_spans(item: list[str], doc: list[str], run: int = RUN, per_edit: int = PER_EDIT) -> list[tuple[int, int, int]]:
     """(first word, last word + 1 in the document, item words) of runs of the item with one edit at most in `per_edit` words.
@@ -181,26 +231,15 @@ def near_pairs(pairs: set[tuple[str, str]], doc: list[str]) -> list[tuple[int, i
     return out
 
 
-def _search(index: LeakIndex, answers: dict[int, list[str]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    known = set(index.postings)
-    pairs = [set(zip(ws, ws[1:])) for ws in index.items]
-
+def _search(told) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index, answers = told.value
         for pdf in batches:
-            if pdf.empty:
-                continue
             rows = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
                 ws = words(text)
-                if len(ws) < RUN - RUN // PER_EDIT:
-                    continue
-                may: set[int] = set()
-                for at in range(0, max(1, len(ws) - STEP), STEP):
-                    passage = ws[at : at + PASSAGE]
-                    if sum(w in known for w in passage) >= RUN - RUN // PER_EDIT:
-                        may.update(index.above(passage))
-                for k in sorted(may):
-                    spans = [(s + a, s + b, n) for s, t in near_pairs(pairs[k], ws) for a, b, n in leaked_spans(index.items[k], ws[s:t])]
+                for k in index.candidates(ws):
+                    spans = [(s + a, s + b, n) for s, t in near_pairs(index.pairs[k], ws) for a, b, n in leaked_spans(index.items[k], ws[s:t])]
                     if spans:
                         answer = answers.get(index.ids[k]) or []
                         has = bool(answer) and any(ws[i : i + len(answer)] == answer for i in range(len(ws) - len(answer) + 1))
@@ -215,7 +254,7 @@ def _slices(items: DataFrame) -> Iterator[list]:
     held, size = [], 0
     for r in items.select("item_id", "text", "answer").where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).orderBy("item_id").toLocalIterator():
         held.append(r)
-        size += len(r["text"]) // 4 + 1
+        size += len(words(r["text"])) + 1
         if size > MOST_WORDS:
             yield held
             held, size = [], 0
@@ -238,6 +277,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     for rows in _slices(items):
         once = {r["item_id"]: r for r in rows}
         index = LeakIndex([(k, words(r["text"])) for k, r in sorted(once.items())])
-        part = source.mapInPandas(_search(index, {k: words(r["answer"] or "") for k, r in once.items()}), schema)
+        told = spark.sparkContext.broadcast((index, {k: words(r["answer"] or "") for k, r in once.items()}))  # of a checked number of words
+        part = source.mapInPandas(_search(told), schema)
         out = part if out is None else cut(out).unionByName(part)
     return spark.createDataFrame([], schema) if out is None else out.dropDuplicates(["doc_id", "item_id"])

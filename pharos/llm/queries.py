@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,10 @@ from pharos.llm import answer_pairs, eval_leaks, language_labels, scan_noise, so
 from pharos.runtime import table
 
 
+#: Folder of the vocabulary files of tokenizers.
+TOKENIZERS = os.environ.get("PHAROS_TOKENIZERS", "/opt/tokenizers")
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values and words of issue types and severities that are too rare or too common to be useful."""
     counted = term_counts.issue_term_frequencies(table(spark, sf_dir, "audit_issue"))
@@ -60,22 +66,22 @@ def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources that can't reach their target share."""
-    return source_mix.short_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))
+    return source_mix.short_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"), TOKENIZERS)
 
 
 def p7_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records of the mix, each use of a record once."""
-    return source_mix.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))[0]
+    return source_mix.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"), TOKENIZERS)[0]
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shares reached by source."""
-    return source_mix.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))[1]
+    return source_mix.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"), TOKENIZERS)[1]
 
 
 def p7_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The temperature mix with the entropy of the target shares, as far as repeats allow."""
-    return source_mix.tempered_mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))
+    return source_mix.tempered_mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"), TOKENIZERS)
 
 
 def _subjects(spark: SparkSession, sf_dir: str) -> list[DataFrame]:

@@ -1,22 +1,23 @@
 """Mixing sources to target weights.
 
 Sizes are tokens of a public tokenizer, counted once per record into a checkpoint. Sizes by source are small (one row per
-source) and go to the driver, where weights are found:
-
-* `temperature_weights` raises the sources' own shares to an exponent, which is bisected so that the entropy of the mix
-  meets a target, or, failing that, so that no source needs more repeats than it may have;
-* `target_weights` tilts from the sources' own shares to given target shares in the same way, w ~ own^(1-x) target^x; one
-  exponent can't meet nine independent targets by itself, so x ends at 1 and what a source can't give, after all its
-  repeats, is reported as missing. It isn't made up for by others beyond their target.
-
-The mix is then realised as budgeted block permutations: each pass over a source is a pseudo-random permutation of its
-records, cut into blocks by hash; whole blocks are taken while the budget lasts, and only within the block where it runs out
-are records counted one by one. No source is ever gathered in one task.
+source) and go to the driver, where one path leads from them to the mix:
+
+1. exponents: a source's weight is its own share to a power, w = own^x. One power for all sources is found by bisection for
+   an entropy or as far as repeats allow (`temperature_weights`); one power can't meet nine independent target shares, so
+   each source's power is bisected to its own target (`target_exponents`);
+2. caps: a weight that needs more repeats than a source may have is held at its cap, and the source falls short. What it
+   can't give is reported as missing and isn't made up for by others beyond their target;
+3. budgets in tokens, and their realisation as budgeted block permutations: each pass over a source, whole ones too, is a
+   pseudo-random permutation of its records, cut into blocks by hash; whole blocks are taken while the budget lasts, and
+   only within the block where it runs out are records counted one by one. `position` orders the whole mix. No source is
+   ever gathered in one task.
 """
 
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from pharos.runtime import arrow_batches, cut, spread
 
-#: Vocabulary file of the tokenizer and folder of such files; both are parameters of the operators.
-TOKENIZER, FOLDER = "byte_bpe_50k.json", "/opt/tokenizers"
+#: Vocabulary file of the tokenizer, a parameter like the folder it is in, which has no default.
+TOKENIZER = "byte_bpe_50k.json"
 #: Blocks a permutation of a source has.
 BLOCKS = 4096
 SEED = 17
@@ -40,8 +41,6 @@ def source_key(c: str):
 
 def _tokens(path: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -50,18 +49,22 @@ def _tokens(path: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFra
         for pdf in batches:
             if pdf.empty:
                 continue
-            n = [len(tokenizer.encode(t, add_special_tokens=False)) if t else 0 for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "tokens": n})
+            # equal texts are counted once a batch
+            texts = {t: 0 for t in pdf["text"] if t}
+            for t, e in zip(texts, tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)):
+                texts[t] = len(e)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "tokens": [texts[t] if t else 0 for t in pdf["text"]]})
 
     return f
 
 
-def token_sizes(documents: DataFrame, tokenizer: str = TOKENIZER, folder: str = FOLDER) -> DataFrame:
-    """(doc_id, source, tokens) of each document that has a source, in a checkpoint; a null text has no tokens."""
+def token_sizes(documents: DataFrame, folder: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    """(doc_id, source, tokens) of each document that has a source, in a checkpoint; a null text has no tokens, a document delivered again counts once."""
     arrow_batches(documents.sparkSession)
     source = documents.select("doc_id", source_key("source").alias("source"), "text").where(F.col("source").isNotNull() & F.col("doc_id").isNotNull())
-    once = spread(source).mapInPandas(_tokens(f"{folder}/{tokenizer}"), "doc_id bigint, source string, tokens bigint")
-    return cut(once.groupBy("doc_id").agg(F.min(F.struct("source", "tokens")).alias("r")).select("doc_id", "r.*"))
+    counted = spread(source).mapInPandas(_tokens(f"{folder}/{tokenizer}"), "doc_id bigint, source string, tokens bigint")
+    # texts stay where they are; what came again is told from its counts
+    return cut(counted.groupBy("doc_id").agg(F.min(F.struct("source", "tokens")).alias("r")).select("doc_id", "r.*"))
 
 
 def entropy(shares: dict[str, float]) -> float:
@@ -100,91 +103,111 @@ def temperature_weights(sizes: dict[str, int], budget: int, repeats: dict[str, i
     return 1 - flat, tempered(sizes, 1 - flat)
 
 
-def target_weights(sizes: dict[str, int], target: dict[str, float], x: float = 1.0) -> dict[str, float]:
-    """Shares between the sources' own (x = 0) and their targets (x = 1); sources without a size get none before x = 1."""
-    own = _normal({k: float(v) for k, v in sizes.items()})
-    return {k: (own.get(k, 0.0) ** (1 - x)) * (t**x) for k, t in target.items()} if x < 1 else dict(target)
+#: Exponents are looked for between these; own shares of a thousandth to the power 40 are nothing.
+LEAST_EXPONENT, MOST_EXPONENT = -40.0, 40.0
+
+
+def target_exponents(own: dict[str, float], target: dict[str, float]) -> dict[str, float | None]:
+    """The power of each source's own share that meets its target, by bisection; None where no power does.
+
+    A source without documents, or the only one, has no power; neither has a target of nothing.
+    """
+    out: dict[str, float | None] = {}
+    for k, t in target.items():
+        p = own.get(k, 0.0)
+        if not 0 < p < 1 or not 0 < t:
+            out[k] = None
+            continue
+        # p^x falls as x grows: the largest x whose weight is still at least the target
+        out[k] = bisect(lambda x, p=p, t=t: p**x >= t, LEAST_EXPONENT, MOST_EXPONENT, 100)
+    return out
 
 
 def mix_plan(sizes: DataFrame, targets: DataFrame) -> list[dict]:
-    """One row per source of the targets: its size, target, cap, budget in tokens and whether it falls short.
+    """One row per source of the targets: its size, exponent, weight, cap, budget in tokens and whether it falls short.
 
     The total is the size of all documents that have a source, in the targets or not. A source without documents, or a
-    null share or repeat (read as 0), has a budget of 0.
+    null share or repeat (read as 0), has a budget of 0. A source is short if its weight, held at what its repeats give,
+    is below its target.
     """
     own = {r["source"]: int(r["tokens"] or 0) for r in sizes.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}  # one row per source
-    rows = {r["source"]: r for r in targets.select(source_key("source").alias("source"), "target_share", "max_repeats").where(F.col("source").isNotNull()).dropDuplicates(["source"]).collect()}
+    rows = {r["source"]: r for r in targets.select(source_key("source").alias("source"), "target_share", "max_repeats").where(F.col("source").isNotNull()).orderBy("source", "target_share", "max_repeats").collect()}
     total = sum(own.values())
-    share = {k: float(r["target_share"] or 0) for k, r in rows.items()}
-    cap = {k: int(r["max_repeats"] or 0) * own.get(k, 0) for k, r in rows.items()}
-    # the exponent goes as far towards the targets as repeats allow for all sources at once; beyond it, sources end at their cap
-    free = bisect(lambda x: all(w * total <= cap[k] for k, w in _normal(target_weights(own, share, x)).items()), 0.0, 1.0) if total and all(own.get(k) for k in rows) else None
-    weights = target_weights(own, share)
+    share = {k: max(0.0, float(r["target_share"] or 0)) for k, r in rows.items()}
+    exponent = target_exponents(_normal({k: float(v) for k, v in own.items()}), share)
     plan = []
     for k in sorted(rows):
-        want = weights[k] * total
+        repeats, size = max(0, int(rows[k]["max_repeats"] or 0)), own.get(k, 0)
+        # a source that is everything has weight 1 at any power; one that is nothing has none
+        wanted = (size / total) ** exponent[k] if exponent[k] is not None else min(1.0, share[k]) if size == total else 0.0
+        most = repeats * size / total if total else 0.0
+        weight = min(wanted, most)
         plan.append(
             {
-                "source": k, "size": own.get(k, 0), "target_share": share[k], "max_repeats": int(rows[k]["max_repeats"] or 0), "total": total,
-                "budget": int(min(want, cap[k])), "short": want > cap[k], "free_exponent": free,
+                "source": k, "size": size, "target_share": share[k], "max_repeats": repeats, "total": total, "exponent": exponent[k], "weight": weight,
+                "budget": int(round(weight * total)), "short": share[k] * total > 0 and weight < share[k] * (1 - 1e-9),
             }
         )
     return plan
 
 
 def _frame(spark: SparkSession, plan: list[dict]) -> DataFrame:
-    schema = "source string, size bigint, target_share double, max_repeats int, total bigint, budget bigint, short boolean, free_exponent double"
+    schema = "source string, size bigint, target_share double, max_repeats int, total bigint, exponent double, weight double, budget bigint, short boolean"
     return spark.createDataFrame(plan, schema)
 
 
 def realised(sizes: DataFrame, plan: list[dict], seed: int = SEED, blocks: int = BLOCKS) -> DataFrame:
-    """(source, doc_id, repeat, tokens) of the mix: each source's records up to its budget, `repeat` from 1.
+    """(source, doc_id, repeat, tokens, position) of the mix: each source's records up to its budget, `repeat` from 1.
 
-    Whole passes take every record; the last pass takes the records of its permutation while the sum before them is below
-    what is left of the budget, and stops before the record that would pass it by more than half of that record.
+    Each pass is a permutation of the source's records of its own, whole passes too; the last one takes records while the
+    sum before them is below what is left of the budget, and stops before the record that would pass it by more than half
+    of that record. `position` (from 0 to 1) is a record's place in the mix: a pass takes up as much of it as it is of the
+    source's budget, its records in the order of its permutation, so that all sources run evenly through the mix.
     """
     spark = sizes.sparkSession
-    passes = [(r["source"], r["budget"] // r["size"], r["budget"] % r["size"]) for r in plan if r["size"] > 0]
-    told = F.broadcast(spark.createDataFrame(passes, "source string, whole bigint, rest bigint"))  # one row per source
+    passes = [(r["source"], r["budget"] // r["size"], r["budget"] % r["size"], r["budget"] / r["size"]) for r in plan if r["size"] > 0 and r["budget"] > 0]
+    told = F.broadcast(spark.createDataFrame(passes, "source string, whole bigint, rest bigint, passes double"))  # one row per source
     rows = sizes.join(told, "source")
-    whole = rows.where(F.col("whole") > 0).select("source", "doc_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("whole"))).alias("repeat"), "tokens")
-    order = F.xxhash64("doc_id", F.lit(seed), F.col("whole"))
-    last = rows.where(F.col("rest") > 0).withColumn("order", order).withColumn("block", F.pmod(F.shiftright("order", 40), F.lit(blocks)))
+    order = F.xxhash64("doc_id", F.lit(seed), F.col("pass"))
+    # the place of a record within its pass: the upper bits of its hash, as a share
+    place = (F.pmod(F.shiftright("order", 11), F.lit(1 << 53)) / F.lit(float(1 << 53))).alias("place")
+    whole = rows.where(F.col("whole") > 0).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("whole") - 1)).alias("pass")).withColumn("order", order).select("*", place)
+    last = rows.where(F.col("rest") > 0).withColumn("pass", F.col("whole")).withColumn("order", order).select("*", place).withColumn("block", F.floor(F.col("place") * blocks).cast("int"))
     # one row per source and block; the sums before each block are taken over those
     sums = last.groupBy("source", "block").agg(F.sum("tokens").alias("own"))
     sums = sums.withColumn("before", F.sum("own").over(W.partitionBy("source").orderBy("block")) - F.col("own"))
     last = last.join(sums, ["source", "block"]).where(F.col("before") < F.col("rest"))
     full = last.where(F.col("before") + F.col("own") <= F.col("rest"))
     edge = last.where(F.col("before") + F.col("own") > F.col("rest"))  # one block of each source
-    run = F.sum("tokens").over(W.partitionBy("source", "block").orderBy("order", "doc_id"))
+    run = F.sum("tokens").over(W.partitionBy("source", "block").orderBy("place", "doc_id"))
     edge = edge.withColumn("sum", F.col("before") + run).where(F.col("sum") - F.col("tokens") / 2 <= F.col("rest"))
-    pick = lambda df: df.select("source", "doc_id", (F.col("whole") + 1).alias("repeat"), "tokens")
-    return whole.unionByName(pick(full)).unionByName(pick(edge))
+    pick = lambda df: df.select("source", "doc_id", (F.col("pass") + 1).alias("repeat"), "tokens", F.least(F.lit(1.0), (F.col("pass") + F.col("place")) / F.col("passes")).alias("position"))
+    return pick(whole).unionByName(pick(full)).unionByName(pick(edge))
 
 
-def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, folder: str = FOLDER) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, folder: str, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
     """(records of the mix, shares reached).
 
-    shares: (source, size, target_share, budget, tokens, records, share, short); share is of the tokens of the whole mix.
+    shares: (source, size, target_share, exponent, budget, tokens, records, share, short); share is of the tokens of the whole mix.
     """
-    sizes = token_sizes(documents, tokenizer, folder)
+    sizes = token_sizes(documents, folder, tokenizer)
     plan = mix_plan(sizes, targets)
     records = cut(realised(sizes, plan))
     got = records.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("records"))
     told = F.broadcast(_frame(documents.sparkSession, plan)).join(got, "source", "left").fillna(0, ["tokens", "records"])
     all_tokens = records.agg(F.sum("tokens").alias("n")).first()["n"] or 1
-    return records, told.select("source", "size", "target_share", "budget", "tokens", "records", (F.col("tokens") / all_tokens).alias("share"), "short")
+    return records, told.select("source", "size", "target_share", "exponent", "budget", "tokens", "records", (F.col("tokens") / all_tokens).alias("share"), "short")
 
 
-def short_sources(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, folder: str = FOLDER) -> DataFrame:
+def short_sources(documents: DataFrame, targets: DataFrame, folder: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """(source) of the targets that can't reach their share."""
-    plan = mix_plan(token_sizes(documents, tokenizer, folder), targets)
+    plan = mix_plan(token_sizes(documents, folder, tokenizer), targets)
     return _frame(documents.sparkSession, plan).where("short").select("source")
 
 
-def tempered_mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, folder: str = FOLDER) -> DataFrame:
+def tempered_mix(documents: DataFrame, targets: DataFrame, folder: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """(source, size, exponent, share) of the temperature mix whose entropy is that of the target shares, as far as repeats allow."""
-    plan = mix_plan(token_sizes(documents, tokenizer, folder), targets)
+    plan = mix_plan(token_sizes(documents, folder, tokenizer), targets)
     sizes = {r["source"]: r["size"] for r in plan}
     repeats = {r["source"]: r["max_repeats"] for r in plan}
     goal = entropy(_normal({r["source"]: r["target_share"] for r in plan if r["target_share"] > 0}))

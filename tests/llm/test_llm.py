@@ -1,6 +1,7 @@
 """Training-data operators on small made-up tables: known answers, brute force, nulls, blanks, repeats and empty tables."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -8,6 +9,8 @@ from pyspark.sql import functions as F
 
 from pharos.llm import answer_pairs, eval_leaks, language_labels, languages, scan_lines, scan_noise, source_mix, subject_areas
 
+from pharos.llm.queries import TOKENIZERS
+
 TEXTS = {
     "en": ["The keeper closed the gate before the storm", "They repaired the long bridge with help from the town", "A nurse took the pulse and changed the dressing", "The band played the slow movement without the organ"],
     "de": ["Die Wärterin schloss das Tor vor dem Sturm", "Sie reparierten die lange Brücke mit Hilfe der Stadt", "Eine Schwester maß den Puls und wechselte den Verband", "Die Kapelle spielte den langsamen Satz ohne die Orgel"],
@@ -223,12 +226,11 @@ def test_block_max_search_loses_nothing():
     index = eval_leaks.LeakIndex(items)
     for _ in range(200):
         p = [f"w{rng.randrange(200)}" for _ in range(30)] + items[rng.randrange(100)][1][:20]
-        want = []
-        for k in range(100):
-            score = sum(float(index.postings[w][1][list(index.postings[w][0]).index(k)]) for w in set(p) if w in index.postings and k in index.postings[w][0])
-            if score >= index.least[k] * 1.0001:
-                want.append(k)
-        assert set(want) <= set(index.above(p))
+        pairs = list(zip(p, p[1:]))
+        score = Counter()
+        for t in set(pairs) & index.postings.keys():
+            score.update(dict(zip(index.postings[t].items, index.postings[t].scores)))
+        assert index.above(pairs) == sorted(k for k, x in score.items() if x >= 1) != []
 
 
 def test_mix(spark):
@@ -236,15 +238,18 @@ def test_mix(spark):
     docs = [(i, " ".join(["word"] * rng.randrange(1, 40)), ["a", " A", "b", "c", None, " "][i % 6]) for i in range(600)] + [(700, None, "b"), (None, "x", "a")]
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id bigint, text string, source string, tokens int")
     targets = spark.createDataFrame([("A", 0.3, 1), ("b", 0.3, 2), ("c", 0.3, 1), ("d", 0.1, 9), (None, 0.0, 1)], "source string, target_share double, max_repeats int")
-    records, shares = source_mix.mix(df, targets)
+    records, shares = source_mix.mix(df, targets, TOKENIZERS)
     got = {r.source: r for r in shares.collect()}
-    assert {k for k, r in got.items() if r.short} == {r.source for r in source_mix.short_sources(df, targets).collect()} == {"c", "d"}
+    assert {k for k, r in got.items() if r.short} == {r.source for r in source_mix.short_sources(df, targets, TOKENIZERS).collect()} == {"c", "d"}
     for k, r in got.items():
         assert abs(r.tokens - r.budget) <= 40 and r.tokens <= r.size * {"a": 1, "b": 2, "c": 1, "d": 9}[k] + 40
     uses = records.groupBy("source", "doc_id").count().agg({"count": "max"}).first()[0]
-    assert uses <= 2 and records.dropDuplicates(["source", "doc_id", "repeat"]).count() == records.count()
-    assert source_mix.short_sources(df.limit(0), targets).count() == 0
+    assert uses <= 2 and records.where("position < 0 OR position > 1 OR position IS NULL").count() == 0 and records.dropDuplicates(["source", "doc_id", "repeat"]).count() == records.count()
+    assert source_mix.short_sources(df.limit(0), targets, TOKENIZERS).count() == 0
     x, w = source_mix.temperature_weights({"a": 900, "b": 90, "c": 10}, 1000, {"a": 1, "b": 4, "c": 4}, None)
+    assert got["a"].exponent is not None and got["d"].exponent is None
+    e = source_mix.target_exponents({"a": 0.9, "b": 0.1, "c": 0.0}, {"a": 0.3, "b": 0.7, "c": 0.5})
+    assert abs(0.9 ** e["a"] - 0.3) < 1e-9 and abs(0.1 ** e["b"] - 0.7) < 1e-9 and e["c"] is None
     assert abs(sum(w.values()) - 1) < 1e-9 and w["c"] * 1000 <= 40.001 and (w["c"] * 1000 > 39 or w["b"] * 1000 > 350)
 
 
