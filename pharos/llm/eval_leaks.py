@@ -179,31 +179,29 @@ def leaked_spans(item: list[str], doc: list[str], run: int = RUN, per_edit: int
     most = (2 * run - 1) // per_edit
     codes = {w: i for i, w in enumerate(set(item))}
     d = np.array([codes.get(w, -1) for w in doc])
-    # length[e][j]: item words of the longest run ending before document word j; start[e][j]: where it began
-    length = np.full((most + 1, n + 1), -(10**6), np.int32)
-    length[0] = 0
-    start = np.tile(np.arange(n + 1, dtype=np.int32), (most + 1, 1))
+    # best[e][j]: item words of the longest run with e edits ending before document word j, times `unit`, plus where it began
+    unit, nothing = 1 << 32, -(1 << 60)
+    begin = np.full((most + 1, n + 1), nothing, np.int64)
+    begin[0] = np.arange(n + 1)
+    need = np.array([max(run, e * per_edit) * unit for e in range(most + 1)])[:, None]
+    best, shifted = begin.copy(), np.full_like(begin, nothing)
     hits: list[tuple[int, int, int]] = []
     for w in item:
-        match = np.r_[False, d == codes[w]]
-        new, begun = np.full_like(length, -(10**6)), start.copy()
-        new[0] = 0
-        begun[0] = np.arange(n + 1)
-        for e in range(most + 1):
-            diagonal = np.r_[-(10**6), length[e, :-1] + 1]
-            better = match & (diagonal > new[e])
-            new[e][better], begun[e][better] = diagonal[better], np.r_[0, start[e, :-1]][better]
-            if e:
-                for value, origin in (
-                    (np.r_[-(10**6), length[e - 1, :-1] + 1], np.r_[0, start[e - 1, :-1]]),  # changed
-                    (length[e - 1] + 1, start[e - 1]),  # missing
-                    (np.r_[-(10**6), new[e - 1, :-1]], np.r_[0, begun[e - 1, :-1]]),  # added
-                ):
-                    better = value > new[e]
-                    new[e][better], begun[e][better] = value[better], origin[better]
-            for j in np.flatnonzero(match & (new[e] >= max(run, e * per_edit))):
-                hits.append((int(begun[e][j]), int(j), int(new[e][j])))
-        length, start = new, begun
+        match = d == codes[w]
+        shifted[:, 1:] = best[:, :-1] + unit
+        new = begin.copy()
+        new[:, 1:] = np.where(match, np.maximum(new[:, 1:], shifted[:, 1:]), new[:, 1:])
+        np.maximum(new[1:], shifted[:-1], out=new[1:])  # changed
+        np.maximum(new[1:], best[:-1] + unit, out=new[1:])  # missing
+        for e in range(1, most + 1):  # added
+            np.maximum(new[e, 1:], new[e - 1, :-1], out=new[e, 1:])
+        if match.any():
+            found = (new[:, 1:] >= need) & match
+            if found.any():
+                for e, j in zip(*np.nonzero(found)):
+                    v = int(new[e, j + 1])
+                    hits.append((v % unit, int(j) + 1, v // unit))
+        best = new
     merged: list[tuple[int, int, int]] = []
     for s, t, k in sorted(hits):
         if merged and s <= merged[-1][1]:
