@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from pharos.llm.eval_leaks import _slices, words
 from pharos.llm.languages import label_code
-from pharos.runtime import arrow_batches, cut, spread
+from pharos.runtime import arrow_batches, cut, one_row, spread
 
 TREATED = 0.2
 #: Least number of documents that a term must be in; one of fewer says nothing of others.
@@ -56,8 +56,7 @@ def doc_sentences(text: str, items: set[tuple[str, str]]) -> list[list[str]]:
     out = []
     for p in pieces:
         ws = words(p)
-        pairs = list(zip(ws, ws[1:]))
-        if pairs and sum(x in items for x in pairs) >= OF_ITEMS * len(pairs):
+        if len(ws) > 1 and sum(map(items.__contains__, zip(ws, ws[1:]))) >= OF_ITEMS * (len(ws) - 1):
             continue
         own = [w.lower() for w in _WORD.findall(p)]
         if len(own) >= 3:
@@ -65,48 +64,73 @@ def doc_sentences(text: str, items: set[tuple[str, str]]) -> list[list[str]]:
     return out
 
 
-def _split(items: set[tuple[str, str]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _split(told) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        items = told.value
         for pdf in batches:
-            if pdf.empty:
-                continue
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "code": pdf["code"], "sentences": [[" ".join(s) for s in doc_sentences(t, items)] for t in pdf["text"]]})
 
     return f
 
 
 class Space:
-    """Vocabulary, term weights and, once found, the term vectors."""
+    """Term weights and, once found, the term vectors."""
 
-    def __init__(self, terms: dict[str, int], idf: np.ndarray):
-        self.terms, self.idf = terms, idf
+    def __init__(self, idf: np.ndarray):
+        self.idf = idf
         self.vectors: np.ndarray | None = None
 
-    def ids(self, sentence: str) -> list[int]:
-        return [i for w in sentence.split(" ") if (i := self.terms.get(w)) is not None]
-
-    def row(self, sentences) -> tuple[np.ndarray, np.ndarray]:
-        """(term ids, weights) of a document: damped counts times inverse frequency, of length one."""
-        at, n = np.unique([i for s in sentences for i in self.ids(s)], return_counts=True)
-        x = (1 + np.log(n)) * self.idf[at.astype(int)] if len(at) else np.zeros(0)
-        return at.astype(int), (x / np.linalg.norm(x) if len(x) else x)
+    def embed(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Sentences, given as term ids one after the other and where each ends, among the latent dimensions, of length one; zero if without a term."""
+        out = np.zeros((len(ends), self.vectors.shape[1]), np.float32)
+        begins = np.r_[0, ends[:-1]].astype(np.int64)
+        some = ends > begins
+        if some.any():
+            x = np.add.reduceat(self.vectors[ids] * self.idf[ids][:, None], begins[some], axis=0)
+            n = np.linalg.norm(x, axis=1, keepdims=True)
+            out[some] = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+        return out
 
-    def embed(self, sentence: str) -> np.ndarray:
-        """The sentence among the latent dimensions, of length one; zero if it has no term."""
-        at = self.ids(sentence)
-        if not at:
-            return np.zeros(self.vectors.shape[1], np.float32)
-        x = (self.vectors[at] * self.idf[at][:, None]).sum(axis=0)
-        n = np.linalg.norm(x)
-        return x / n if n else x
 
-
-def vocabulary(texts: DataFrame) -> Space:
-    """Terms and weights of all documents; it grows with the distinct words of the corpus."""
+def vocabulary(texts: DataFrame) -> tuple[dict[str, int], Space]:
+    """Terms by id and their weights over all documents; it grows with the distinct words of the corpus."""
     total = texts.count()
     ws = texts.select(F.explode(F.array_distinct(F.flatten(F.transform("sentences", lambda s: F.split(s, " "))))).alias("term"))
     rows = ws.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= LEAST).orderBy("term").collect()
-    return Space({r["term"]: i for i, r in enumerate(rows)}, np.log((1 + total) / (1 + np.array([r["df"] for r in rows], float))).astype(np.float32))
+    return {r["term"]: i for i, r in enumerate(rows)}, Space(np.log((1 + total) / (1 + np.array([r["df"] for r in rows], float))).astype(np.float32))
+
+
+def encoded(texts: DataFrame, terms: dict[str, int]) -> DataFrame:
+    """(doc_id, code, labels, ids, ends): term ids of each document's sentences one after the other, and where each sentence ends; written once."""
+    told = texts.sparkSession.sparkContext.broadcast(terms)
+
+    def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        terms = told.value
+        for pdf in batches:
+            ids, ends = [], []
+            for own in pdf["sentences"]:
+                flat: list[int] = []
+                to: list[int] = []
+                for sentence in own:
+                    flat += [i for w in sentence.split(" ") if (i := terms.get(w)) is not None]
+                    to.append(len(flat))
+                ids.append(flat)
+                ends.append(to)
+            yield pdf.drop(columns="sentences").assign(ids=ids, ends=ends)
+
+    return cut(texts.select("doc_id", "code", "labels", "sentences").mapInPandas(f, "doc_id bigint, code string, labels array<string>, ids array<int>, ends array<int>"))
+
+
+#: Term ids that are looked at together.
+CHUNK = 50_000
+
+
+def _chunks(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """A batch in runs of documents of about `CHUNK` terms; a longer document is a run of its own."""
+    if len(pdf):
+        run = np.cumsum([len(x) for x in pdf["ids"]]) // CHUNK
+        for _, part in pdf.groupby(run, sort=False):
+            yield part
 
 
 def _summed(parts: DataFrame, shape: tuple[int, ...]) -> np.ndarray:
@@ -138,28 +162,38 @@ def _in_blocks(total: np.ndarray) -> pd.DataFrame:
 def decompose(texts: DataFrame, space: Space, dimensions: int = DIMENSIONS, steps: int = SVD_STEPS) -> Space:
     """Finds the leading right singular vectors of the weighted document-term matrix and gives them to `space`."""
     sc = texts.sparkSession.sparkContext
-    n = len(space.terms)
+    n = len(space.idf)
     k = min(dimensions, n)
     if not k:
         space.vectors = np.zeros((0, 1), np.float32)
         return space
     q = np.linalg.qr(np.random.default_rng(7).standard_normal((n, k)))[0]
     for _ in range(steps):
-        told = sc.broadcast((space, q.astype(np.float32)))
+        told = sc.broadcast((space.idf, q.astype(np.float32)))
 
         def f(batches: Iterator[pd.DataFrame], told=told) -> Iterator[pd.DataFrame]:
-            space, q = told.value
+            idf, q = told.value
             total = np.zeros(q.shape, np.float64)
             for pdf in batches:
-                if pdf.empty:
-                    continue
-                for s in pdf["sentences"]:
-                    at, x = space.row(s)
-                    if len(at):
-                        total[at] += x[:, None] * (x @ q[at])[None, :]
+                for part in _chunks(pdf):
+                    # counts of (document, term), damped and weighted, each document of length one
+                    doc = np.repeat(np.arange(len(part)), [len(x) for x in part["ids"]])
+                    if not len(doc):
+                        continue
+                    pairs, count = np.unique(doc.astype(np.int64) * n + np.concatenate(part["ids"].to_numpy()), return_counts=True)
+                    doc, term = np.divmod(pairs, n)
+                    x = ((1 + np.log(count)) * idf[term]).astype(np.float32)
+                    begins = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+                    size = np.diff(np.r_[begins, len(doc)])
+                    x /= np.repeat(np.maximum(np.sqrt(np.add.reduceat(x * x, begins)), 1e-12), size)
+                    y = np.add.reduceat(x[:, None] * q[term], begins, axis=0)
+                    order = np.argsort(term, kind="stable")
+                    back = (x[:, None] * np.repeat(y, size, axis=0))[order]
+                    at = np.flatnonzero(np.r_[True, np.diff(term[order]) != 0])
+                    total[term[order][at]] += np.add.reduceat(back, at, axis=0)
             yield _in_blocks(total)
 
-        z = _summed(texts.select("sentences").mapInPandas(f, "block int, values array<double>"), (n, k))
+        z = _summed(texts.select("ids").mapInPandas(f, "block int, values array<double>"), (n, k))
         q, r = np.linalg.qr(z)
         told.unpersist()
     space.vectors = q.astype(np.float32)
@@ -173,46 +207,62 @@ class Classifier:
         self.space, self.subjects, self.codes = space, subjects, codes
         self.centroids = np.zeros((len(codes), len(subjects) + 1, space.vectors.shape[1]), np.float32)
 
-    def classes(self, sentences, allowed: list[int] | None = None, code: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(language, class, embedding) of each sentence by the largest cosine; a sentence without a known term is of no subject."""
-        x = np.stack([self.space.embed(s) for s in sentences])
-        cos = np.einsum("sd,lcd->slc", x, self.centroids)
+    def classes(self, x: np.ndarray, codes: np.ndarray, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(language, class) of each embedded sentence by the largest cosine; a sentence without a known term is of no subject.
+
+        `codes`: the language of each sentence's document by its label, or -1. `allowed`: which classes each may have.
+        """
+        shape = self.centroids.shape
+        cos = (x @ self.centroids.reshape(-1, shape[2]).T).reshape(len(x), shape[0], shape[1])
         cos[:, ~np.any(self.centroids, axis=2)] = -2
         if allowed is not None:
-            keep = np.zeros(len(self.subjects) + 1, bool)
-            keep[[0, *allowed]] = True
-            cos[:, :, ~keep] = -2
-        if code in self.codes:
-            own = self.codes.index(code)
-            best_elsewhere = cos.max(axis=2).argmax(axis=1)
-            # the document's label is a hint only: a sentence nearer to another language's centroids by far is in that language
-            cos[:, own] += 0.15 * (best_elsewhere == own)[:, None]
-        flat = cos.reshape(len(x), -1).argmax(axis=1)
-        lang, cls = np.divmod(flat, cos.shape[2])
-        blank = ~np.any(x, axis=1)
-        cls[blank] = 0
-        return lang, cls, x
+            cos = np.where(allowed[:, None, :], cos, -2)
+        best = cos.max(axis=2).argmax(axis=1)
+        # the document's label is a hint only: a sentence nearer to another language's centroids by far is in that language
+        hinted = np.flatnonzero((codes >= 0) & (best == codes))
+        cos[hinted, codes[hinted]] += 0.15
+        lang, cls = np.divmod(cos.reshape(len(x), -1).argmax(axis=1), shape[1])
+        cls[~np.any(x, axis=1)] = 0
+        return lang, cls
+
+    def sentences(self, part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document by place, language of its label, embedding) of each sentence of some documents."""
+        sizes = [len(x) for x in part["ids"]]
+        offset = np.cumsum(sizes) - sizes
+        ends = np.concatenate([np.asarray(e, np.int64) + o for e, o in zip(part["ends"], offset)] or [np.zeros(0, np.int64)])
+        doc = np.repeat(np.arange(len(part)), [len(e) for e in part["ends"]])
+        code = np.array([self.codes.index(c) if c in self.codes else -1 for c in part["code"]], np.int64)
+        return doc, code[doc], self.space.embed(np.concatenate(part["ids"].to_numpy()).astype(np.int64), ends)
 
 
 def _taught(told, first: bool, hold: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model: Classifier = told.value
+        place = {s: i + 1 for i, s in enumerate(model.subjects)}
         total = np.zeros(model.centroids.shape, np.float64)
         for pdf in batches:
-            if pdf.empty:
-                continue
-            for code, own, labels in zip(pdf["code"], pdf["sentences"], pdf["labels"]):
-                if len(own) == 0:
+            for part in _chunks(pdf):
+                doc, code, x = model.sentences(part)
+                if not len(doc):
                     continue
-                allowed = [model.subjects.index(s) + 1 for s in labels if s in model.subjects] if labels is not None else None
+                own = [None if labels is None else [place[s] for s in labels if s in place] for labels in part["labels"]]
                 if first:  # in the language of the document's label; documents of several subjects weigh little, but some classes have no others
-                    if allowed is not None and code in model.codes:
-                        for c in allowed or [0]:
-                            total[model.codes.index(code), c] += np.sum([model.space.embed(s) for s in own], axis=0) / max(1, len(allowed)) ** 3
+                    for d in np.unique(doc[code >= 0]):
+                        if own[d] is not None:
+                            for c in own[d] or [0]:
+                                total[code[doc == d][0], c] += x[doc == d].sum(axis=0) / max(1, len(own[d])) ** 3
                     continue
-                lang, cls, x = model.classes(own, allowed if hold else None, code)
-                if hold or labels is None or len(labels):
-                    np.add.at(total, (lang, cls), x)
+                allowed = None
+                if hold:
+                    allowed = np.ones((len(part), len(place) + 1), bool)
+                    for d, cs in enumerate(own):
+                        if cs is not None:
+                            allowed[d] = False
+                            allowed[d, [0, *cs]] = True
+                    allowed = allowed[doc]
+                lang, cls = model.classes(x, code, allowed)
+                keep = np.ones(len(doc), bool) if hold else np.array([labels is None or len(labels) > 0 for labels in part["labels"]])[doc]
+                np.add.at(total, (lang[keep], cls[keep]), x[keep])
         yield _in_blocks(total)
 
     return f
@@ -226,7 +276,7 @@ def fit_subjects(texts: DataFrame, space: Space, subjects: list[str], codes: lis
     for step in range(1 + HELD_STEPS + FREE_STEPS):
         rows = labelled if step <= HELD_STEPS else texts
         told = sc.broadcast(model)
-        total = _summed(rows.select("code", "sentences", "labels").mapInPandas(_taught(told, step == 0, step <= HELD_STEPS), "block int, values array<double>"), model.centroids.shape)
+        total = _summed(rows.select("code", "ids", "ends", "labels").mapInPandas(_taught(told, step == 0, step <= HELD_STEPS), "block int, values array<double>"), model.centroids.shape)
         told.unpersist()
         norm = np.linalg.norm(total, axis=2, keepdims=True)
         fresh = np.divide(total, norm, out=np.zeros_like(total), where=norm > 0).astype(np.float32)
@@ -238,17 +288,17 @@ def fit_subjects(texts: DataFrame, space: Space, subjects: list[str], codes: lis
 def _shares(told) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model: Classifier = told.value
+        names = np.array([NONE, *model.subjects], object)
         for pdf in batches:
-            if pdf.empty:
-                continue
-            rows = []
-            for doc_id, code, own in zip(pdf["doc_id"], pdf["code"], pdf["sentences"]):
-                if len(own) == 0:
+            for part in _chunks(pdf):
+                doc, code, x = model.sentences(part)
+                if not len(doc):
                     continue
-                cls = model.classes(own, code=code)[1]
-                n = np.bincount(cls, minlength=len(model.subjects) + 1)
-                rows += [(doc_id, model.subjects[c - 1] if c else NONE, int(n[c]), len(own)) for c in np.flatnonzero(n)]
-            yield pd.DataFrame(rows, columns=["doc_id", "subject", "sentences", "of"])
+                cls = model.classes(x, code)[1]
+                of = np.bincount(doc, minlength=len(part))
+                pair, n = np.unique(doc * len(names) + cls, return_counts=True)
+                d, c = np.divmod(pair, len(names))
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[d], "subject": names[c], "sentences": n, "of": of[d]})
 
     return f
 
@@ -263,15 +313,18 @@ def subject_shares(documents: DataFrame, labels: DataFrame, areas: DataFrame, it
     arrow_batches(spark)
     pairs = {p for rows in _slices(items) for r in rows for ws in [words(r["text"])] for p in zip(ws, ws[1:])}
     subjects = sorted({r["subject"] for r in areas.select("subject").where(F.col("subject").isNotNull()).distinct().collect()})
-    source = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", label_code(F.col("lang")).alias("code"), "text").dropDuplicates(["doc_id"])
+    source = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", label_code(F.col("lang")).alias("code"), "text")
+    source = one_row(source, "doc_id")
     told = labels.where(F.col("doc_id").isNotNull() & F.col("subject").isin([*subjects, NONE])).groupBy("doc_id").agg(F.collect_set("subject").alias("labels"))
     told = told.orderBy(F.xxhash64("doc_id")).limit(MOST_LABELLED).select("doc_id", F.filter("labels", lambda s: s != NONE).alias("labels"))
-    texts = cut(spread(source).mapInPandas(_split(pairs), "doc_id bigint, code string, sentences array<string>").join(F.broadcast(told), "doc_id", "left"))
-    space = decompose(texts, vocabulary(texts))
+    texts = cut(spread(source).mapInPandas(_split(spark.sparkContext.broadcast(pairs)), "doc_id bigint, code string, sentences array<string>").join(F.broadcast(told), "doc_id", "left"))
+    terms, space = vocabulary(texts)
+    texts = encoded(texts, terms)
+    space = decompose(texts, space)
     codes = sorted(r["code"] for r in texts.where(F.col("code").isNotNull()).select("code").distinct().collect()) or ["?"]
     model = fit_subjects(texts, space, subjects, codes)
     told = spark.sparkContext.broadcast(model)
-    return texts.select("doc_id", "code", "sentences").mapInPandas(_shares(told), "doc_id bigint, subject string, sentences int, of int")
+    return texts.select("doc_id", "code", "ids", "ends").mapInPandas(_shares(told), "doc_id bigint, subject string, sentences int, of int")
 
 
 def treated_subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame, items: DataFrame) -> DataFrame:
