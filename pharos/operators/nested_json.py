@@ -14,14 +14,14 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pharos.runtime import arrow_batches, cut, spread
+from pharos.runtime import arrow_batches, bounded_broadcast, cut, spread
 
 _OPEN, _CLOSE = b"{[", b"}]"
 _IS = np.zeros((4, 256), bool)  # opening, closing, colon or comma, any of them
@@ -35,6 +35,11 @@ ROWS = "kind string, report_id bigint, delivery bigint, page_key string, page_no
 _TOLD = ("type", "severity", "wcag_criterion", "element", "remediation_status")
 
 
+#: Members of an issue and of a location that have columns or rows of their own.
+_ISSUE_COLUMNS = frozenset((*_TOLD, "id", "location", "locations", "page_number"))
+_LOCATION_COLUMNS = frozenset(("path", "file_path", "description", "page_number"))
+
+
 class Index:
     """The structural index of one JSON text. `whole` tells whether every bracket and string is closed."""
 
@@ -192,6 +197,17 @@ def issue_places(index: Index) -> Iterator[tuple[str | None, int | None, int]]:
             yield None, None, i
 
 
+def _place(index: Index, own: dict) -> dict:
+    """The values of a location; nested ones under their paths."""
+    out = {}
+    for k, v in own.items():
+        if v[0] < 0:
+            out[k] = index.value(v)
+        else:
+            out |= dict(leaves(index, v, k))
+    return out
+
+
 def locations_of(index: Index, member) -> list[dict]:
     """The locations of an issue: a list, one object, either told as a JSON string, or a plain path. Null and empty are none."""
     if member is None:
@@ -208,10 +224,10 @@ def locations_of(index: Index, member) -> list[dict]:
     out = []
     if index.kind[token] == 0x7B:
         own = index.members(token)
-        return [{k: index.value(v) for k, v in own.items()}] if own else []
+        return [_place(index, own)] if own else []
     for _, t, s, e in index.items(token):
         if t >= 0 and index.kind[t] == 0x7B:
-            out.append({k: index.value(v) for k, v in index.members(t).items()})
+            out.append(_place(index, index.members(t)))
         else:
             told = scalar(index.text(s, e)) if t < 0 else None
             inner = opened(told) if isinstance(told, str) and told.lstrip()[:1] == "{" else None
@@ -219,8 +235,24 @@ def locations_of(index: Index, member) -> list[dict]:
     return out
 
 
-def flat_rows(report_id, delivery, body) -> Iterator[dict]:
-    """All rows of one report. A null, cut or unreadable body has none."""
+def leaves(index: Index, member, path: str = "") -> Iterator[tuple[str, str | None]]:
+    """(path, value) of each scalar below a member, in order: names joined by dots, places in lists from 1 in brackets; empty containers tell their brackets."""
+    token, start, end = member
+    if token < 0:
+        value = scalar(index.text(start, end))
+        yield path, None if value is None else value if isinstance(value, str) else json.dumps(value)
+        return
+    listed = index.kind[token] == 0x5B
+    empty = True
+    for n, (key, *inner) in enumerate(index.items(token), 1):
+        empty = False
+        yield from leaves(index, inner, f"{path}[{n}]" if listed else f"{path}.{scalar(key)}" if path else str(scalar(key)))
+    if empty:
+        yield path, "[]" if listed else "{}"
+
+
+def flat_rows(report_id, delivery, body, details: bool = False) -> Iterator[dict]:
+    """All rows of one report. A null, cut or unreadable body has none. `details`: also one row for each value that has no column of its own."""
     index = opened(body)
     if index is None:
         return
@@ -239,7 +271,7 @@ def flat_rows(report_id, delivery, body) -> Iterator[dict]:
         if key is not None and key in pages:
             pages[key]["issues"] += 1
         told = locations_of(index, own.get("location") or own.get("locations"))
-        have = seen.setdefault(issue_id, {"told": [], "page": None, "under": None, "key": None, "own": {}})
+        have = seen.setdefault(issue_id, {"told": [], "page": None, "under": None, "key": None, "own": {}, "rest": {}})
         if len(told) > len(have["told"]):
             have["told"] = told
         for name, value in (("page", as_page(index.value(own.get("page_number")))), ("under", page), ("key", key)):
@@ -248,8 +280,15 @@ def flat_rows(report_id, delivery, body) -> Iterator[dict]:
         for name in _TOLD:
             if name not in have["own"] and (value := index.value(own.get(name))) is not None:
                 have["own"][name] = str(value)
+        if details:
+            for name, member in own.items():
+                if name not in _ISSUE_COLUMNS:
+                    for path, value in leaves(index, member, name):
+                        have["rest"].setdefault(path, value)
     top = index.members(index.top) if index.kind[index.top] == 0x7B else {}
     yield base | {"kind": "report", "path": index.value(top.get("html_path")), "issues": len(seen)}
+    if details:
+        yield from (base | x for x in _report_details(index, top))
     for row in pages.values():
         yield base | row
     for issue_id, x in seen.items():
@@ -259,25 +298,57 @@ def flat_rows(report_id, delivery, body) -> Iterator[dict]:
             "kind": "issue", "page_key": x["key"], "page_no": fallback, "issue_id": issue_id, "issue_type": own.get("type"), "severity": own.get("severity"),
             "criterion": own.get("wcag_criterion"), "element": own.get("element"), "status": own.get("remediation_status"), "issues": len(x["told"]),
         }
+        for path, value in x["rest"].items():
+            yield base | {"kind": "detail", "issue_id": issue_id, "path": path, "description": value}
         for n, place in enumerate(x["told"], 1):
             page = as_page(place.get("page_number"))
             text = {k: None if place.get(k) is None else str(place[k]) for k in ("path", "file_path", "description")}
             yield base | {"kind": "location", "issue_id": issue_id, "page_no": fallback if page is None else page, "location_no": n} | text
+            if details:
+                for path, value in place.items():
+                    if path not in _LOCATION_COLUMNS:
+                        told = None if value is None else value if isinstance(value, str) else json.dumps(value)
+                        yield base | {"kind": "detail", "issue_id": issue_id, "location_no": n, "path": path, "description": told}
+
+
+def _report_details(index: Index, top: dict) -> Iterator[dict]:
+    """Values of a report itself and of its pages that aren't issues."""
+    for name, member in top.items():
+        if name in ("html_path", "issues"):
+            continue
+        if name not in ("by_page", "by_status") or member[0] < 0:
+            for path, value in leaves(index, member, name):
+                yield {"kind": "detail", "path": path, "description": value}
+            continue
+        keyed = index.kind[member[0]] == 0x7B
+        for n, (key, token, start, end) in enumerate(index.items(member[0]), 1):
+            at = f"{name}.{scalar(key)}" if keyed else f"{name}[{n}]"
+            if token >= 0 and index.kind[token] == 0x7B:
+                for inner, own in index.members(token).items():
+                    if inner != "issues":
+                        for path, value in leaves(index, own, f"{at}.{inner}"):
+                            yield {"kind": "detail", "path": path, "description": value}
+            elif token < 0:
+                for path, value in leaves(index, (token, start, end), at):
+                    yield {"kind": "detail", "path": path, "description": value}
 
 
 _COLUMNS = [c.split()[0] for c in ROWS.split(", ")]
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        held: list[dict] = []
-        for r in pdf.itertuples(index=False):
-            held += flat_rows(r.report_id, r.delivery, r.body)
-            if len(held) > 20_000:
+def _parse(details: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            held: list[dict] = []
+            for r in pdf.itertuples(index=False):
+                held += flat_rows(r.report_id, r.delivery, r.body, details)
+                if len(held) > 20_000:
+                    yield _frame(held)
+                    held = []
+            if held:
                 yield _frame(held)
-                held = []
-        if held:
-            yield _frame(held)
+
+    return f
 
 
 def _frame(rows: list[dict]) -> pd.DataFrame:
@@ -289,37 +360,49 @@ def _frame(rows: list[dict]) -> pd.DataFrame:
     return pdf
 
 
-def report_rows(reports: DataFrame) -> DataFrame:
-    """One row for each report, page, issue and location of `reports`, told apart by `kind`.
+def last_deliveries(reports: DataFrame) -> DataFrame:
+    """(report_id, body) of the delivery of each report that counts: of several, the one received last, among those of one time the one of the largest hash.
+
+    Reports and hashes alone are compared; bodies of reports delivered once, which are nearly all, stay where they were
+    read, and equal deliveries become one.
+    """
+    source = reports.where(F.col("report_id").isNotNull()).select("report_id", F.coalesce("received_at", F.timestamp_micros(F.lit(0))).alias("at"), F.xxhash64("body").alias("delivery"), "body")
+    told = source.groupBy("report_id").agg(F.count("*").alias("n"), F.max(F.struct("at", "delivery")).alias("last")).where("n > 1")
+    again, _ = bounded_broadcast(cut(told.select("report_id", "last.at", "last.delivery")))
+    last = source.join(again, ["report_id", "at", "delivery"], "left_semi").groupBy("report_id").agg(F.min("body").alias("body"))
+    return source.join(again.select("report_id"), "report_id", "left_anti").select("report_id", "body").unionByName(last)
+
+
+def report_rows(reports: DataFrame, details: bool = False) -> DataFrame:
+    """One row for each report, page, issue and location of `reports`, told apart by `kind`; with `details`, for each further value too.
 
-    Needs `report_id`, `received_at` and `body`; further columns are left alone. Of several deliveries of a report
-    the one received last counts (among those of one time, the one whose body has the largest hash), and equal
-    deliveries count once; it is chosen by its key and hash, so that bodies stay where they were read. A report
-    without an id can't be linked to and is left out, as is one with a null, empty or cut body.
+    Needs `report_id`, `received_at` and `body`; further columns are left alone. Of several deliveries of a report the one
+    received last counts. A report without an id can't be linked to and is left out, as is one with a null, empty or cut body.
     """
     arrow_batches(reports.sparkSession)
-    source = reports.where(F.col("report_id").isNotNull()).select("report_id", "received_at", F.xxhash64("body").alias("delivery"), "body")
-    last = source.groupBy("report_id").agg(F.max(F.struct(F.coalesce("received_at", F.timestamp_micros(F.lit(0))).alias("at"), F.col("delivery"))).alias("last")).select("report_id", "last.delivery")
-    flat = spread(source.drop("received_at")).mapInPandas(_parse, ROWS)
-    return flat.join(last, ["report_id", "delivery"], "left_semi").drop("delivery").distinct()
+    source = last_deliveries(reports).select("report_id", F.lit(0).cast("bigint").alias("delivery"), "body")
+    return spread(source).mapInPandas(_parse(details), ROWS).drop("delivery")
 
 
 def report_tables(reports: DataFrame) -> dict[str, DataFrame]:
-    """The four linked tables; the bodies are parsed once, into a checkpoint.
+    """The five linked tables; the bodies are parsed once, into a checkpoint.
 
     reports(report_id, html_path, issues), pages(report_id, page_key, page_no, issues),
     issues(report_id, issue_id, page_key, page_no, issue_type, severity, criterion, element, status, locations),
-    locations(report_id, issue_id, location_no, page_no, path, file_path, description).
+    locations(report_id, issue_id, location_no, page_no, path, file_path, description),
+    details(report_id, issue_id, location_no, path, value): every further value, however deep, under the path of names that
+    leads to it; it belongs to the location, else to the issue, else to the report that it names.
     A page links to its report by report_id, an issue to its page by (report_id, page_key), which is NULL for an
     issue that stands under no page, a location to its issue by (report_id, issue_id).
     """
-    rows = cut(report_rows(reports))
+    rows = cut(report_rows(reports, details=True))
     of = lambda kind: rows.where(F.col("kind") == kind)
     return {
         "reports": of("report").select("report_id", F.col("path").alias("html_path"), "issues"),
         "pages": of("page").select("report_id", "page_key", "page_no", "issues"),
         "issues": of("issue").select("report_id", "issue_id", "page_key", "page_no", "issue_type", "severity", "criterion", "element", "status", F.col("issues").alias("locations")),
         "locations": of("location").select("report_id", "issue_id", "location_no", "page_no", "path", "file_path", "description"),
+        "details": of("detail").select("report_id", "issue_id", "location_no", "path", F.col("description").alias("value")),
     }
 
 

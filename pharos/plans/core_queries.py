@@ -28,7 +28,12 @@ def p2_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested_json.report_tables(table(spark, sf_dir, "audit_report"))["locations"]
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_reports, p2_pages, p2_issues, p2_locations)}
+def p2_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of reports, issues and locations that have no column of their own."""
+    return nested_json.report_tables(table(spark, sf_dir, "audit_report"))["details"]
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_reports, p2_pages, p2_issues, p2_locations, p2_details)}
 
 # An independent reading of the bodies by DuckDB's JSON functions. A cut body is no valid JSON.
 _REPORTS = r"""
@@ -61,5 +66,11 @@ UNION ALL SELECT report_id, issue_id, page_no, 0 FROM listed WHERE len(ls) = 0
 """
 
 ORACLE = {
+    "p2_pages": _REPORTS + """SELECT report_id, page_key, coalesce(try_cast(nullif(regexp_extract(max(page_key), '(\\d+)', 1), '') AS BIGINT)) AS page_no, CAST(sum(CASE WHEN json_type(p->'issues') = 'ARRAY' THEN json_array_length(p->'issues') ELSE 0 END) AS BIGINT) AS issues FROM pages GROUP BY report_id, page_key""",
+    "p2_issues": _REPORTS + """SELECT report_id, issue_id, page_key, l.page_no, i->>'type' AS issue_type, i->>'severity' AS severity, i->>'wcag_criterion' AS criterion, i->>'element' AS element, i->>'remediation_status' AS status, CAST(len(ls) AS BIGINT) AS locations
+FROM issues JOIN listed l USING (report_id, issue_id)""",
+    "p2_reports": _REPORTS + "SELECT g.report_id, j->>'html_path' AS html_path, coalesce(n, 0) AS issues FROM good g LEFT JOIN (SELECT report_id, count(*) AS n FROM issues GROUP BY ALL) USING (report_id)",
+    "p2_locations": _REPORTS + """SELECT report_id, issue_id, location_no, coalesce(try_cast(x->>'page_number' AS BIGINT), page_no) AS page_no, x->>'path' AS path, x->>'file_path' AS file_path, x->>'description' AS description FROM (
+  SELECT report_id, issue_id, page_no, unnest(ls) AS x, unnest(range(1, len(ls) + 1)) AS location_no FROM listed)""",
     "p2_found": _REPORTS + _LOCATIONS,
 }

@@ -56,5 +56,17 @@ def test_the_last_delivery_counts(spark):
     df = spark.createDataFrame([(1, t[0], old, 5), (1, t[1], new, 5), (1, t[1], new, 5), (None, t[0], old, 5), (2, None, old, 5), (3, t[0], None, 5)], "report_id bigint, received_at timestamp, body string, kind int")
     assert sorted(map(tuple, nested_json.issue_locations(df).collect())) == [(1, "new", -1, 0), (2, "old", -1, 0)]
     tables = nested_json.report_tables(df)
-    assert {k: v.count() for k, v in tables.items()} == {"reports": 2, "pages": 0, "issues": 2, "locations": 0}
+    assert {k: v.count() for k, v in tables.items()} == {"reports": 2, "pages": 0, "issues": 2, "locations": 0, "details": 0}
     assert nested_json.issue_locations(df.limit(0)).count() == 0
+
+
+def test_no_value_is_lost():
+    body = {
+        "summary": {"total": 3, "by": {"minor": [1, {"x": None}]}}, "html_path": "a.html", "by_page": {"4": {"n": 2, "issues": []}}, "by_status": {"open": 5},
+        "issues": [{"id": "a", "type": "t", "context": {"html": "<p>", "classes": []}, "location": [{"path": "p", "contrast_ratio": 2.5, "box": {"left": 1}}]}],
+    }
+    got = {(r.get("issue_id"), r.get("location_no"), r["path"]): r["description"] for r in nested_json.flat_rows(1, 0, json.dumps(body), details=True) if r["kind"] == "detail"}
+    assert got == {
+        (None, None, "summary.total"): "3", (None, None, "summary.by.minor[1]"): "1", (None, None, "summary.by.minor[2].x"): None, (None, None, "by_page.4.n"): "2", (None, None, "by_status.open"): "5",
+        ("a", None, "context.html"): "<p>", ("a", None, "context.classes"): "[]", ("a", 1, "contrast_ratio"): "2.5", ("a", 1, "box.left"): "1",
+    }
