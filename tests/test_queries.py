@@ -5,10 +5,10 @@ import os
 import duckdb
 import pytest
 
-from pharos.plans import audit_queries, core_queries, pipeline_queries
+from pharos.plans import audit_queries, branch_queries, core_queries, pipeline_queries, text_queries
 
 DATA = os.environ.get("PHAROS_TEST_DATA", "/root/testdata/sf0.001")
-MODULES = (core_queries, audit_queries, pipeline_queries)
+MODULES = (core_queries, audit_queries, branch_queries, pipeline_queries, text_queries)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
 
