@@ -75,7 +75,8 @@ def _counts(codes: tuple[str, ...], model: LanguageModel | None, words_of: Calla
                 held = [Counter() for _ in codes]
         parts = (total + bucket_counts(held)).reshape(-1, RANGE)
         some = np.flatnonzero(parts.any(axis=1))
-        yield pd.DataFrame({"part": some, "counts": list(parts[some])})
+        if len(some):
+            yield pd.DataFrame({"part": some, "counts": list(parts[some])})
 
     return f
 

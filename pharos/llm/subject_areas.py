@@ -68,6 +68,8 @@ def _split(told) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         items = told.value
         for pdf in batches:
+            if pdf.empty:
+                continue
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "code": pdf["code"], "sentences": [[" ".join(s) for s in doc_sentences(t, items)] for t in pdf["text"]]})
 
     return f
@@ -107,6 +109,8 @@ def encoded(texts: DataFrame, terms: dict[str, int]) -> DataFrame:
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         terms = told.value
         for pdf in batches:
+            if pdf.empty:
+                continue
             ids, ends = [], []
             for own in pdf["sentences"]:
                 flat: list[int] = []
