@@ -52,7 +52,7 @@ def issues_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def issues_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.by_status(_link_audit(spark, sf_dir))
+    return reports.by_status(_link_audit(spark, sf_dir, number=False))
 
 
 def issues_by_criterion(spark: SparkSession, sf_dir: str) -> DataFrame:

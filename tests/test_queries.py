@@ -49,6 +49,11 @@ def test_an_issue_table_adds_up(spark):
     assert total.total_issues == pages == reports.by_status(found).agg({"total": "sum"}).first()[0] == sum(total[k] for k in reports.LEVELS)
 
 
+def test_statuses_are_counted_without_numbers(spark):
+    files = QUERIES["issues_by_status"](spark, DATA).inputFiles()
+    assert [f.rsplit("/", 1)[1] for f in files] == ["customer.parquet"]
+
+
 def test_reports_are_written(spark, tmp_path):
     from pharos.operators import issues, reports
 
