@@ -54,6 +54,13 @@ def test_statuses_are_counted_without_numbers(spark):
     assert [f.rsplit("/", 1)[1] for f in files] == ["customer.parquet"]
 
 
+def test_numbers_are_joined_without_a_broadcast_of_all_issues(spark):
+    found = QUERIES["issue_numbering"](spark, DATA)
+    joins = [x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in x and "[doc_id" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins)
+    assert [r.issue_seq for r in found.orderBy("issue_seq").collect()] == list(range(1, found.count() + 1))
+
+
 def test_reports_are_written(spark, tmp_path):
     from pharos.operators import issues, reports
 
