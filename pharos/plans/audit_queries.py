@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pharos.operators import alternative_checks, dimensions, issues, remediation, reports
 from pharos.sources import html_tree, rendered
-from pharos.runtime import table
+from pharos.runtime import cut, table
 
 
 def _found(rows: str, render: Callable, *checks: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -249,11 +249,13 @@ def remediation_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scope_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scopes of the headers of rendered tables after repair."""
-    pages = rendered.tables(table(spark, sf_dir, "orders"))
-    done = remediation.remediate(pages, issues.audit(pages, detailed=False, checks=["table_headers"]))
+    """Scopes of the headers of rendered tables after repair. They depend on the text alone, so documents of one text are repaired once and count as often as they came."""
+    texts = rendered.tables(table(spark, sf_dir, "orders")).groupBy("html").agg(F.count("*").alias("copies"))
+    pages = cut(texts.select(F.monotonically_increasing_id().alias("doc_id"), F.lit("").alias("file_path"), "html", "copies"))  # written, so that all readers agree on the numbers
+    done = remediation.remediate(pages, issues.audit(pages, detailed=False, checks=["table_headers"], number=False))
     nodes = html_tree.flat_nodes(html_tree.parsed(done.select("doc_id", "file_path", "html"))).where("name = 'th'")
-    return nodes.groupBy(F.coalesce(F.try_element_at("attrs", F.lit("scope")), F.lit("")).alias("scope")).agg(F.count("*").alias("n"))
+    found = nodes.groupBy("doc_id", F.coalesce(F.try_element_at("attrs", F.lit("scope")), F.lit("")).alias("scope")).agg(F.count("*").alias("heads"))
+    return found.join(pages.select("doc_id", "copies").hint("merge"), "doc_id").groupBy("scope").agg(F.sum(F.col("heads") * F.col("copies")).alias("n"))
 
 
 QUERIES |= {

@@ -61,6 +61,17 @@ def test_numbers_are_joined_without_a_broadcast_of_all_issues(spark):
     assert [r.issue_seq for r in found.orderBy("issue_seq").collect()] == list(range(1, found.count() + 1))
 
 
+def test_documents_of_one_text_are_repaired_once(spark, tmp_path, monkeypatch):
+    from pharos.operators import remediation
+
+    handed = []
+    rewrite = remediation.remediate
+    monkeypatch.setattr(remediation, "remediate", lambda pages, issues, **k: handed.append(pages.count()) or rewrite(pages, issues, **k))
+    spark.range(70).selectExpr("id % 35 AS o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))  # every key twice
+    got = [tuple(r) for r in QUERIES["scope_inference"](spark, str(tmp_path)).collect()]
+    assert got == [("col", 10 * (2 + 2 + 2 + 1 + 2 + 0 + 3))] and handed == [7]
+
+
 def test_reports_are_written(spark, tmp_path):
     from pharos.operators import issues, reports
 
